@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 class Merges:
     """rank(a, b): (priority, merged token) of a pair of tokens, lower first, leftmost of equals; None if they stay apart."""
 
-    def __init__(self, rank: Callable, limit: int = 1 << 20):
+    def __init__(self, rank: Callable, limit: int = 1 << 18):
         self.rank, self.limit = rank, limit
         self._apart: dict = {}
 

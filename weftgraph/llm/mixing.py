@@ -11,10 +11,14 @@ rows swap places freely). An empty table gives an empty result. Other columns of
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell_bits, n_words, spread, written
+from .common import WORD, cell_bits, n_words, spread, written
 
 KEY_BITS = 60
 
@@ -68,6 +72,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of docs: a document comes once for each epoch that takes it whole, and the one that
+    the budget cuts comes with its first words only. n_chars, if there is such a column, follows the text."""
+    takes = mix(docs, **options)
+    key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    by = ["k_id", "k_source", "k_size"]
+    takes = takes.select(key("doc_id").alias("k_id"), key("source").alias("k_source"), F.col("size").alias("k_size"), "taken")
+    takes = takes.groupBy(*by).agg(F.sort_array(F.collect_list("taken")).alias("takes"))
+    rows = docs.select(F.struct("*").alias("row"), key("doc_id").alias("k_id"), key("source").alias("k_source"), n_words(F.col("text")).alias("k_size"))
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(*by))  # rows that agree in all three share the takes out
+    each = rows.join(takes, by).withColumn("taken", F.element_at("takes", turn)).where("taken > 0")
+    rest = F.col("taken") % F.col("k_size")
+    whole = F.array_repeat(F.col("k_size"), F.floor(F.col("taken") / F.col("k_size")).cast("int"))
+    copies = each.select("row", "k_size", F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.expr("cast(array() as array<bigint>)")))).alias("limit"))
+    cut = copies.withColumn("cut", F.when(F.col("limit") < F.col("k_size"), F.col("limit"))).withColumn("text", _first_words("row.text", "cut"))
+    out = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return cut.select(*[out[c].alias(c) if c in out else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+@F.arrow_udf("string")
+def _first_words(texts: pa.Array, limits: pa.Array) -> pa.Array:
+    """Each text up to the end of its first limit words; whole where there is no limit."""
+    out = []
+    for t, n in zip(texts, limits, strict=True):
+        t = t.as_py()
+        if n.is_valid:
+            t = t[: next(itertools.islice(re.finditer(WORD, t), n.as_py() - 1, None)).end()]
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),

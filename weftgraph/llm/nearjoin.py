@@ -28,7 +28,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
@@ -285,10 +285,20 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, num: int = 75, den: in
     rest = x.join(y, "token").where(f"ca <> cb AND struct(na, a) < struct(nb, b) AND {early} AND " + _may_link("a", "na", "pa", "b", "nb", "pb", num, den))
     more = written(verified(rest.select("a", "b").distinct(), sets, num, den), "links")
     merged = components(links.unionByName(more))
-    forget(first.where("false"), live, heads, mixed, open_, comps)
+    forget(live, heads, mixed, open_, comps)
 
     # Back to all documents; documents without shingles are alone.
     comp_of = member.join(merged.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("c"))
     placed = rows.select("id", "n").join(comp_of, "id", "left").select("id", "n", F.coalesce("c", "id").alias("c"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return placed.select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("c").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs less all but one document of each component: the row with the smallest doc_id stays (of equal ids, one row)."""
+    comps = jaccard_components(docs, **options)
+    stays = comps.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k")).distinct()
+    # The key travels beside the row, so that no name of the input's can clash with it.
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("h"))
+    first = F.row_number().over(Window.partitionBy("k").orderBy("h"))
+    return rows.join(stays, "k", "left_semi").withColumn("first", first).where("first = 1").select("row.*")

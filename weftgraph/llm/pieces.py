@@ -36,7 +36,7 @@ WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 class Pieces:
     """Encoder and decoder of a SentencePiece byte-pair model, from its serialised file."""
 
-    def __init__(self, model: bytes, max_words: int = 1 << 19):
+    def __init__(self, model: bytes, max_words: int = 1 << 18):
         import sentencepiece
 
         # The library reads the file: pieces, scores and kinds. Encoding and decoding are done here.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, nearjoin, pieces, quality, secrets, sharding, tokencount, winnowing
+from . import extraction, linededup, mixing, nearjoin, pieces, quality, secrets, sharding, tokencount, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -72,7 +77,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_jaccard_join, op4_mixing, op5_secret_scan, op6_quality_rules, op7_pieces, op8_token_counts, op9_sharding, op10_fingerprints)
+    found = (op1_line_dedup, op2_jaccard_join, op3_extraction, op4_mixing, op5_secret_scan, op6_quality_rules, op7_pieces, op8_token_counts, op9_sharding, op10_fingerprints)
     return {f.__name__: f for f in found}
 
 

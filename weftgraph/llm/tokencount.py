@@ -118,7 +118,7 @@ def byte_symbols() -> dict[str, int]:
 class WordTransducer:
     """Counts the tokens of one pretoken, given as bytes; the last byte carries the mark of a word's end."""
 
-    def __init__(self, merges: list, end: str, max_states: int = 1 << 20):
+    def __init__(self, merges: list, end: str, max_states: int = 200_000):
         byte_of = byte_symbols()
 
         def token(text: str) -> tuple[bytes, bool]:
