@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return ranked.select("skey", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, rows_per_cell: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, rows_per_cell: int = 2_000) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
     skey = F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("n"))
     narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
