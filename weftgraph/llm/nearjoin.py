@@ -39,7 +39,9 @@ SKETCH_BITS = 21
 SLICES = 32
 HEAVY = 1 << 14
 NULL_ID = -(2**63)
-BLOCK_OF_CANDIDATES = 256
+CELL = 128
+MAX_BROADCAST_IDS = 1 << 20
+ROWS_AT_ONCE = 1024
 POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -100,7 +102,7 @@ def _postings(n_words: int, num: int, den: int, sketch, bits: int, slice_bits: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(zlib.decompress(sketch.value), np.uint64)
-        for batch in batches:
+        for batch in (some.slice(at, ROWS_AT_ONCE) for some in batches for at in range(0, len(some), ROWS_AT_ONCE)):
             found = []
             for doc, s in zip(batch.column("id").to_pylist(), _sets(batch, n_words), strict=True):
                 n = len(s)
@@ -202,29 +204,45 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], num: int, den:
     return out
 
 
-def _verify_group(num: int, den: int):
-    def run(group: pa.Table) -> pa.Table:
-        owner, ids, query = (group.column(c).to_pylist() for c in ("a", "b", "is_query"))
-        sets = [np.asarray(x.values).view(np.uint64) for x in group.column("shingles")]
-        links: set[tuple[int, int]] = set()
-        members = [i for i, q in enumerate(query) if not q]
-        for i, q in enumerate(query):
-            if q:
-                links.update((owner[i], ids[members[k]]) for k in divide_skip(sets[i], [sets[m] for m in members], num, den))
-        out = sorted(links)
-        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+def _verify_cell(num: int, den: int):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        of: dict[int, list[np.ndarray]] = {}  # a doc_id with several texts has several sets
+        for i, x in zip(sets.column("id").to_pylist(), sets.column("shingles"), strict=True):
+            of.setdefault(i, []).append(np.asarray(x.values).view(np.uint64))
+        partners: dict[int, list[int]] = {}
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            partners.setdefault(a, []).append(b)
+        links = []
+        for a, bs in partners.items():
+            own = [(b, x) for b in bs for x in of[b]]
+            links += sorted({(a, own[k][0]) for query in of[a] for k in divide_skip(query, [x for _, x in own], num, den)})
+        return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, as (u, v). Queries with many candidates are cut into blocks of about equal size."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    cell = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK_OF_CANDIDATES)).cast("int").alias("cell")
-    placed = written(pairs.join(counts, "a").select("a", "b", cell), "pairs")
-    of_b = placed.join(sets.withColumnRenamed("id", "b"), "b").select("a", "cell", "b", F.lit(False).alias("is_query"), "shingles")
-    of_a = placed.select("a", "cell").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "cell", F.col("a").alias("b"), F.lit(True).alias("is_query"), "shingles")
-    return of_b.unionByName(of_a).groupBy("a", "cell").applyInArrow(_verify_group(num, den), "u long, v long")
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the ids (a written table); broadcast only if counted to be few, else joined by a shuffle."""
+    return texts.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, as (u, v).
+
+    Pairs that hang together are one cluster; a cluster is cut into a grid of cells of about CELL queries by CELL candidates,
+    so that a document's set is sent once for each row or column of its cluster's grid, however many pairs it is in.
+    """
+    pairs = written(pairs, "pairs")
+    clusters = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sizes = clusters.groupBy("comp").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k"))
+    placed = written(clusters.join(sizes, "comp").select("id", "comp", "k"), "clusters")
+    rows = _only(texts, placed.select("id")).mapInArrow(_set_rows(n_words), "id long, shingles array<long>")
+    sets = written(rows, "sets")
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
+    in_cells = written(pairs.join(placed.withColumnRenamed("id", "a"), "a").select("comp", part("a").alias("x"), part("b").alias("y"), "a", "b"), "cells")
+    docs = in_cells.select("comp", "x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    docs = docs.select(F.col("comp").alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "id", "shingles")
+    return in_cells.groupBy("comp", "x", "y").cogroup(docs.groupBy("c2", "x2", "y2")).applyInArrow(_verify_cell(num, den), "u long, v long")
 
 
 def _may_link(x: str, nx: str, px: str, y: str, ny: str, py: str, num: int, den: int) -> str:
@@ -262,16 +280,14 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, num: int = 75, den: in
     # Postings of the classes' first shingles.
     postings = rows.agg(F.sum(F.col("n") * (den - num) / den + 1)).first()[0] or 0
     slice_bits = max(6, int(postings // 250_000).bit_length())
-    reps = texts.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    reps = _only(texts, written(classes.select(F.col("rep").alias("id")).distinct(), "reps"))
     packed = reps.mapInArrow(_postings(n_words, num, den, shared_sketch, sketch_bits, slice_bits, heavy + 8 * mean), "slice int, packed binary")
     live = written(packed.repartition("slice").mapInArrow(_shared, "token long, id long, n int, pos int"), "live")
-    live_ids = live.select("id").distinct()
-    sets = written(texts.join(live_ids, "id", "left_semi").mapInArrow(_set_rows(n_words), "id long, shingles array<long>"), "sets")
 
     # Every document against the first of each of its lists.
     heads = written(live.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("h")).select("token", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("pa")), "heads")
     near = live.join(heads, "token").where(_may_link("a", "na", "pa", "id", "n", "pos", num, den)).select("a", F.col("id").alias("b")).distinct()
-    links = written(verified(near, sets, num, den).unionByName(same_id), "links")
+    links = written(verified(near, texts, n_words, num, den).unionByName(same_id), "links")
     comps = components(links)
 
     # All candidates that are not joined yet.
@@ -283,7 +299,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, num: int = 75, den: in
     # The smaller set needs the shared shingle among fewer of its first: those that leave room for the full overlap.
     early = f"{num + den}L * (na - pa) >= {2 * num}L * na"
     rest = x.join(y, "token").where(f"ca <> cb AND struct(na, a) < struct(nb, b) AND {early} AND " + _may_link("a", "na", "pa", "b", "nb", "pb", num, den))
-    more = written(verified(rest.select("a", "b").distinct(), sets, num, den), "links")
+    more = written(verified(rest.select("a", "b").distinct(), texts, n_words, num, den), "links")
     merged = components(links.unionByName(more))
     forget(live, heads, mixed, open_, comps)
 
