@@ -6,12 +6,13 @@ position of the passage in each; positions are kept for that. Texts shorter than
 
 Null and empty texts have an empty fingerprint; two empty fingerprints are alike (1), an empty and another are not (0).
 Equal texts have equal fingerprints. Texts of any length are hashed in segments. An empty table gives an empty result. Other
-columns of the input are ignored. Rows with equal doc_id follow each other in the order of their texts; null ids come last.
+columns of the input are ignored. Rows with equal doc_id follow each other in an order that their texts fix; null ids come last.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,7 +120,8 @@ def _dealt(bounds: np.ndarray, top: int | None):
             parts = np.concatenate((part, part[is_bound] - 1, np.full(int(is_top.sum()), len(bounds))))
             trail = np.concatenate((np.zeros(len(d), np.int64), np.ones(int(is_bound.sum()), np.int64), np.full(int(is_top.sum()), 2)))
             took = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([took.column("doc_id").cast(pa.int64()), took.column("text"), pa.array(parts.astype(np.int32)), pa.array(trail.astype(np.int32))], ["doc_id", "text", "part", "trail"])
+            packed = pa.array([zlib.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in took.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([took.column("doc_id").cast(pa.int64()), packed, pa.array(parts.astype(np.int32)), pa.array(trail.astype(np.int32))], ["doc_id", "packed", "part", "trail"])
 
     return deal
 
@@ -129,8 +131,8 @@ def _compared(k: int, window: int):
         held = None  # (doc_id, text, part, trail, hashes, positions)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, part, trail in zip(*(batch.column(c) for c in ("doc_id", "text", "part", "trail")), strict=True):
-                part, trail, text = part.as_py(), trail.as_py(), text.as_py() or ""
+            for doc_id, packed, part, trail in zip(*(batch.column(c) for c in ("doc_id", "packed", "part", "trail")), strict=True):
+                part, trail, text = part.as_py(), trail.as_py(), zlib.decompress(packed.as_py()).decode("utf-8", "surrogatepass")
                 if held and (held[3] or held[2] != part) and trail:
                     held = None
                     continue  # only the first row that follows a part counts
@@ -158,7 +160,7 @@ def edited_pairs(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     """Each document against its edited text and against the next document, in descending order of doc_id (RESULT).
 
     Range bounds are ids of documents; the text at a bound is sent to both sides, so that every task holds the document
-    that follows its last one, and texts are shuffled once. The bounds number as many as shuffle partitions.
+    that follows its last one, and texts are shuffled once, compressed. The bounds number as many as shuffle partitions.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -166,6 +168,6 @@ def edited_pairs(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     share = F.array(*[F.lit((i + 1) / parts) for i in range(parts)])
     found = docs.agg(F.max("doc_id").alias("top"), F.percentile_approx("doc_id", share, max(10_000, 20 * parts)).alias("b")).first()
     bounds = np.array(sorted(set(found.b or ()), reverse=True), np.int64)
-    dealt = docs.mapInArrow(_dealt(bounds, found.top), "doc_id long, text string, part int, trail int")
-    placed = dealt.repartition(parts, "part").sortWithinPartitions("part", "trail", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = docs.mapInArrow(_dealt(bounds, found.top), "doc_id long, packed binary, part int, trail int")
+    placed = dealt.repartition(parts, "part").sortWithinPartitions("part", "trail", F.col("doc_id").desc_nulls_last(), "packed")
     return placed.mapInArrow(_compared(k, window), RESULT)
