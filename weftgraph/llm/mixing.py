@@ -86,12 +86,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rest = F.col("taken") % F.col("k_size")
     whole = F.array_repeat(F.col("k_size"), F.floor(F.col("taken") / F.col("k_size")).cast("int"))
     copies = each.select("row", "k_size", F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.expr("cast(array() as array<bigint>)")))).alias("limit"))
-    cut = copies.withColumn("cut", F.when(F.col("limit") < F.col("k_size"), F.col("limit"))).withColumn("text", _first_words("row.text", "cut"))
+    cut = copies.withColumn("cut", F.when(F.col("limit") < F.col("k_size"), F.col("limit"))).withColumn("text", F.arrow_udf(_first_words, "string")("row.text", "cut"))
     out = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return cut.select(*[out[c].alias(c) if c in out else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-@F.arrow_udf("string")
 def _first_words(texts: pa.Array, limits: pa.Array) -> pa.Array:
     """Each text up to the end of its first limit words; whole where there is no limit."""
     out = []
