@@ -39,8 +39,8 @@ SKETCH_BITS = 21
 SLICES = 32
 HEAVY = 1 << 14
 NULL_ID = -(2**63)
-CELL = 128
-MAX_BROADCAST_IDS = 1 << 20
+CELL = 256
+MAX_BROADCAST_ROWS = 1 << 20
 ROWS_AT_ONCE = 1024
 POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
@@ -132,30 +132,35 @@ def _postings(n_words: int, num: int, den: int, sketch, bits: int, slice_bits: i
     return run
 
 
+LIVE = "token long, id long, n int, pos int, a long, na int, pa int"
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of shingles that more than one posting has, and all heavy ones."""
+    """The postings of shingles that more than one posting has, with the smallest id of the list; all heavy ones, without."""
 
-    def rows(p: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p["token"]).view(np.int64)), *(pa.array(np.ascontiguousarray(p[c])) for c in ("id", "n", "pos"))], ["token", "id", "n", "pos"])
+    def rows(p: np.ndarray, head: np.ndarray | None) -> pa.RecordBatch:
+        own = [pa.array(np.ascontiguousarray(p["token"]).view(np.int64)), *(pa.array(np.ascontiguousarray(p[c])) for c in ("id", "n", "pos"))]
+        heads = [pa.array(np.ascontiguousarray(head[c])) if head is not None else pa.nulls(len(p), t) for c, t in (("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()))]
+        return pa.RecordBatch.from_arrays(own + heads, [x.split()[0] for x in LIVE.split(", ")])
 
     held = []
     for batch in batches:
         for where, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             p = np.frombuffer(packed.as_buffer(), POSTING)
             if where < 0:
-                yield rows(p)
+                yield rows(p, None)
             else:
                 held.append(p.copy())
     if held:
         p = np.concatenate(held)
-        p = p[np.argsort(p["token"], kind="stable")]
-        same = p["token"][1:] == p["token"][:-1]
-        keep = np.zeros(len(p), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        p = p[keep]
+        p = p[np.lexsort((p["id"], p["token"]))]
+        new = np.concatenate(([True], p["token"][1:] != p["token"][:-1]))
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        keep = ~new
+        keep[:-1] |= ~new[1:]
+        p, head = p[keep], p[first[keep]]
         for at in range(0, len(p), 1 << 16):
-            yield rows(p[at : at + (1 << 16)])
+            yield rows(p[at : at + (1 << 16)], head[at : at + (1 << 16)])
 
 
 def _set_rows(n_words: int):
@@ -221,9 +226,14 @@ def _verify_cell(num: int, den: int):
     return run
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, for a join: broadcast only if counted to be small, else shuffled."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
+
+
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of the ids (a written table); broadcast only if counted to be few, else joined by a shuffle."""
-    return texts.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
+    """The rows of the ids (a written table)."""
+    return texts.join(_small(ids), "id", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
@@ -240,7 +250,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: in
     sets = written(rows, "sets")
     part = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
     in_cells = written(pairs.join(placed.withColumnRenamed("id", "a"), "a").select("comp", part("a").alias("x"), part("b").alias("y"), "a", "b"), "cells")
-    docs = in_cells.select("comp", "x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    places = written(in_cells.select("comp", "x", "y", F.explode(F.array("a", "b")).alias("id")).distinct(), "places")
+    docs = sets.join(_small(places), "id")
     docs = docs.select(F.col("comp").alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "id", "shingles")
     return in_cells.groupBy("comp", "x", "y").cogroup(docs.groupBy("c2", "x2", "y2")).applyInArrow(_verify_cell(num, den), "u long, v long")
 
@@ -282,18 +293,21 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, num: int = 75, den: in
     slice_bits = max(6, int(postings // 250_000).bit_length())
     reps = _only(texts, written(classes.select(F.col("rep").alias("id")).distinct(), "reps"))
     packed = reps.mapInArrow(_postings(n_words, num, den, shared_sketch, sketch_bits, slice_bits, heavy + 8 * mean), "slice int, packed binary")
-    live = written(packed.repartition("slice").mapInArrow(_shared, "token long, id long, n int, pos int"), "live")
+    live = written(packed.repartition("slice").mapInArrow(_shared, LIVE), "live")
 
     # Every document against the first of each of its lists.
-    heads = written(live.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("h")).select("token", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("pa")), "heads")
-    near = live.join(heads, "token").where(_may_link("a", "na", "pa", "id", "n", "pos", num, den)).select("a", F.col("id").alias("b")).distinct()
+    may = _may_link("a", "na", "pa", "id", "n", "pos", num, den)
+    heavy_rows = live.where("a IS NULL").select("token", "id", "n", "pos")
+    heads = heavy_rows.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("h")).select("token", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("pa"))
+    near = live.where(f"a IS NOT NULL AND {may}").select("a", F.col("id").alias("b"))
+    near = near.unionByName(heavy_rows.join(written(heads, "heads"), "token").where(may).select("a", F.col("id").alias("b"))).distinct()
     links = written(verified(near, texts, n_words, num, den).unionByName(same_id), "links")
     comps = components(links)
 
     # All candidates that are not joined yet.
-    tagged = live.join(comps, "id", "left").select("token", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
+    tagged = live.join(_small(comps), "id", "left").select("token", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
     mixed = written(tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "mixed")
-    open_ = written(tagged.join(mixed, "token", "left_semi"), "open")
+    open_ = written(tagged.join(_small(mixed), "token", "left_semi"), "open")
     x = open_.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
     y = open_.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
     # The smaller set needs the shared shingle among fewer of its first: those that leave room for the full overlap.
@@ -301,7 +315,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, num: int = 75, den: in
     rest = x.join(y, "token").where(f"ca <> cb AND struct(na, a) < struct(nb, b) AND {early} AND " + _may_link("a", "na", "pa", "b", "nb", "pb", num, den))
     more = written(verified(rest.select("a", "b").distinct(), texts, n_words, num, den), "links")
     merged = components(links.unionByName(more))
-    forget(live, heads, mixed, open_, comps)
+    forget(live, mixed, open_, comps)
 
     # Back to all documents; documents without shingles are alone.
     comp_of = member.join(merged.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("c"))
