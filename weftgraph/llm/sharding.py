@@ -43,10 +43,17 @@ def rebalanced(slot_map: DataFrame, slot_bytes: DataFrame, shards: int) -> DataF
             acc["mean"].alias("mean"),
         )
 
+    # The mean of the shards that no single slot overfills.
+    fair = F.aggregate(
+        F.slice("s", 1, max(1, shards - 1)),
+        F.struct(F.col("total").alias("t"), F.lit(shards).alias("k")),
+        lambda acc, s: F.when((acc["k"] > 1) & (-s["neg"] * acc["k"] > acc["t"]), F.struct((acc["t"] + s["neg"]).alias("t"), (acc["k"] - 1).alias("k"))).otherwise(acc),
+    )
+    mean = F.ceil(fair["t"] / fair["k"]).cast("long")
     start = F.struct(
         F.array_repeat(F.lit(0).cast("long"), shards).alias("load"),
         F.expr("cast(array() as array<struct<vslot:int,shard:int>>)").alias("map"),
-        F.ceil(F.col("total") / shards).cast("long").alias("mean"),
+        mean.alias("mean"),
     )
     edited = one.select((F.col("version") + 1).alias("version"), F.aggregate("s", start, step)["map"].alias("m"))
     return edited.select("version", F.inline("m"))
