@@ -85,12 +85,12 @@ class PropertyGraph(GraphView):
         if type_name is not None:
             ids = self.types.where(F.col("name") == type_name).select(F.col("id").alias("type_id"))
             frame = frame.join(F.broadcast(ids.limit(1)), "type_id", "left_semi")  # names are unique: one row
-        return [VertexSet(None, frame.withColumn("k", F.col("id")), MapAccess(), F.col("id"))]
+        return [VertexSet(None, frame.withColumn("k", F.col("id")), MapAccess(), F.col("k"))]
 
     def edge_sets(self, label: str | None = None) -> list[EdgeSet]:
         access = MapAccess()
         frame = self.edges if label is None else self.edges.where(access.has(label))
-        return [EdgeSet(None, None, frame.withColumns({"s": F.col("src"), "d": F.col("dst")}), access, F.col("src"), F.col("dst"))]
+        return [EdgeSet(None, None, frame.withColumns({"s": F.col("src"), "d": F.col("dst")}), access, F.col("s"), F.col("d"))]
 
     def counts(self) -> dict[str, int]:
         return {"vertices": self.vertices.count(), "edges": self.edges.count(), "types": self.types.count()}
