@@ -61,6 +61,16 @@ def _sweep() -> None:
             return
 
 
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """df, with the session set to send at most so many rows to Python at a time: a worker's memory then depends on the
+    length of its texts, not on the size of its partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .crf import Crf, train
 from .dom import blocks, features
 from .labelledpages import labelled_pages
@@ -52,4 +53,4 @@ def extract(pages: DataFrame, crf: Crf | None = None, into: str = "text") -> Dat
     def extracted(column: pa.Array) -> pa.Array:
         return pa.array([main_text(x.as_py(), shared.value) for x in column], pa.string())
 
-    return pages.withColumn(into, extracted("html"))
+    return small_batches(pages).withColumn(into, extracted("html"))

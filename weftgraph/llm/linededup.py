@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, written
+from .common import BLANKS, ascii_lower, small_batches, written
 
 FILTER_BITS = 1 << 28
 HASHES = 4
@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
     A line's key is the line without blanks at its ends, A-Z in lower case. Keys of at least min_chars code points that at
     least min_docs documents hold lose all their lines except in the largest doc_id that holds them.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     others = [c for c in docs.columns if c.lower() not in ("text", "doc_id", "n_lines", "n_dropped")]
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = F.transform(F.split(text, "\n", -1), lambda x: ascii_lower(F.btrim(x, F.lit(BLANKS))))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cell_bits, n_words, spread, written
+from .common import WORD, cell_bits, n_words, small_batches, spread, written
 
 KEY_BITS = 60
 
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a document comes once for each epoch that takes it whole, and the one that
     the budget cuts comes with its first words only. n_chars, if there is such a column, follows the text."""
-    takes = mix(docs, **options)
+    takes = mix(small_batches(docs), **options)
     key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
     by = ["k_id", "k_source", "k_size"]
     takes = takes.select(key("doc_id").alias("k_id"), key("source").alias("k_source"), F.col("size").alias("k_size"), "taken")

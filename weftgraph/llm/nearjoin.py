@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, small_batches, written
 from .components import components
 from .textscan import U, column_bytes, mix64, shingles, words
 
@@ -269,7 +269,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, num: int = 75, den: in
 
     Two documents link when den * |intersection| >= num * |union| of their sets of n_words-word shingles.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     first = written(texts.mapInArrow(_first_pass(n_words, sketch_bits), "id long, n long, s1 long, s2 long, slice int, counts binary"), "first")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merges
+from .common import small_batches
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -36,7 +37,7 @@ WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 class Pieces:
     """Encoder and decoder of a SentencePiece byte-pair model, from its serialised file."""
 
-    def __init__(self, model: bytes, max_words: int = 1 << 18):
+    def __init__(self, model: bytes, max_words: int = 1 << 17):
         import sentencepiece
 
         # The library reads the file: pieces, scores and kinds. Encoding and decoding are done here.
@@ -152,7 +153,7 @@ def encode(docs: DataFrame, model: str, into: str = "pieces") -> DataFrame:
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
-    return docs.withColumn(into, encoded("text"))
+    return small_batches(docs).withColumn(into, encoded("text"))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "pieces", into: str = "decoded") -> DataFrame:
@@ -163,4 +164,4 @@ def decode(docs: DataFrame, model: str, ids: str = "pieces", into: str = "decode
     def decoded(lists: pa.Array) -> pa.Array:
         return pa.array([pieces_of(shared.value).decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists], pa.string())
 
-    return docs.withColumn(into, decoded(ids))
+    return small_batches(docs).withColumn(into, decoded(ids))

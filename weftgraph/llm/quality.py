@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, small_batches
 from .textscan import IS_BLANK, column_bytes, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -143,7 +143,7 @@ def measures(min_repeat: int = MIN_REPEAT):
 
 def with_quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """docs with a struct quality of FIELDS and the booleans base_failed and kept."""
-    docs = docs.drop("quality").withColumn("quality", measures(min_repeat)("text"))
+    docs = small_batches(docs).drop("quality").withColumn("quality", measures(min_repeat)("text"))
     q = F.col("quality")
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     repeats = (q["covered_words"] > max_covered * q["n_words"]) | (q["longest_repeat"] > max_longest)

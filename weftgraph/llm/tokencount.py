@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merges
+from .common import small_batches
 from .textscan import INVERSES, POWERS, U, mix64
 
 # Character classes, and the states of the pretoken transducer.
@@ -210,7 +211,7 @@ class WordTransducer:
 class Counter:
     """Counts the tokens of whole texts under a tokenizer's JSON file."""
 
-    def __init__(self, spec: dict, max_words: int = 1 << 19):
+    def __init__(self, spec: dict, max_words: int = 1 << 18):
         self.words = WordTransducer(spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special)) if special else None
@@ -315,4 +316,4 @@ def with_token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def counted(texts: pa.Array) -> pa.Array:
         return pa.array(counter_of(spec.value).counts([t.as_py() or "" for t in texts]), pa.int64())
 
-    return docs.withColumn("n_tokens", counted("text"))
+    return small_batches(docs).withColumn("n_tokens", counted("text"))

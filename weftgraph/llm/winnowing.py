@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textscan import BASE, INVERSES, POWERS, U, mix64
 
 K, WINDOW = 32, 96
@@ -97,7 +98,7 @@ def with_fingerprint(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataF
         both = [winnow(t.as_py() or "", k, window) for t in texts]
         return pa.array([{"hashes": h.astype(np.int64), "positions": p} for h, p in both], pa.struct([("hashes", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))]))
 
-    return docs.withColumn("winnowed", winnowed("text"))
+    return small_batches(docs).withColumn("winnowed", winnowed("text"))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -163,7 +164,7 @@ def edited_pairs(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     that follows its last one, and texts are shuffled once, compressed. The bounds number as many as shuffle partitions.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = F.array(*[F.lit((i + 1) / parts) for i in range(parts)])
     found = docs.agg(F.max("doc_id").alias("top"), F.percentile_approx("doc_id", share, max(10_000, 20 * parts)).alias("b")).first()
