@@ -65,3 +65,12 @@ def test_layouts_agree(spark, data):
     ]
     for case in cases:
         assert sorted(map(tuple, case(wide).collect())) == sorted(map(tuple, case(flat).collect()))
+
+
+def test_filters_and_columns_reach_the_scan(spark, data):
+    plan = lambda name: catalogue.QUERIES[name](spark, data)._jdf.queryExecution().toString()
+    found = plan("select_vertex_eq")
+    assert "EqualTo(c_mktsegment,BUILDING)" in found and "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in found
+    found = plan("match_path")
+    assert "CartesianProduct" not in found and "BroadcastNestedLoopJoin" not in found
+    assert "EqualTo(o_orderpriority,1-URGENT)" in found and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in found
