@@ -6,7 +6,8 @@ two tasks have it in their once filters. There are no false negatives. Pass 2 pr
 lines that it suspects are shuffled, with their keys, for the exact count of documents and the choice of the document that
 keeps them. Then each document drops its lines.
 
-The filters have a fixed number of bits, the only thing that is broadcast. Beyond about a line for every 8 bits more lines
+The filters have a fixed number of bits. Only the twice filter is broadcast, and the places of dropped lines if they are
+counted to be few (MAX_BROADCAST_BYTES); beyond that they are joined by a shuffle. Beyond about a line for every 8 bits more lines
 are suspected without need, up to all of them; results are exact at any size. A key that very many documents hold is
 counted with partial sums, so that no task receives its lines.
 
@@ -30,6 +31,7 @@ from .common import BLANKS, ascii_lower, small_batches, written
 FILTER_BITS = 1 << 28
 HASHES = 4
 BLOCK = 1 << 16  # bytes
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def _bits(hashes: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +146,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
     gone = suspects.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("stays")))
     gone = gone.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("rid").alias("g_rid"), "gone")
     gone = written(gone, "gone")
+    size = gone.agg((24 * F.count("*") + F.coalesce(4 * F.sum(F.size("gone")), F.lit(0))).alias("bytes")).first()["bytes"]
+    if size <= MAX_BROADCAST_BYTES:  # then texts need no shuffle
+        gone = F.broadcast(gone)
 
     @F.arrow_udf("struct<text:string,n_lines:long,n_dropped:long>")
     def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
