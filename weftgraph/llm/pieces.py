@@ -49,6 +49,9 @@ class Pieces:
         plain = [i for i in range(n) if not (self.is_byte[i] or self.is_control[i] or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {self.piece[i]: i for i in plain}
         self.byte_id = {int(self.piece[i][3:5], 16): i for i in range(n) if self.is_byte[i]}
+        # Bytes of ASCII are characters by themselves; only others, and controls, need more than a look-up to decode.
+        self.plain = [chr(int(p[3:5], 16)) if b and int(p[3:5], 16) < 128 else p for p, b in zip(self.piece, self.is_byte, strict=True)]
+        self.hard = np.array([c or (b and int(p[3:5], 16) > 127) for p, b, c in zip(self.piece, self.is_byte, self.is_control, strict=True)])
         score = {self.piece[i]: -sp.get_score(i) for i in plain}
         self.longest = max(map(len, score))
         self.merges = Merges(lambda a, b: (score[a + b], a + b) if a + b in score else None)
@@ -102,11 +105,14 @@ class Pieces:
         known = self.known
         return [np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, words)), np.int32) for words in split]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; controls give nothing, bytes that are not UTF-8 the replacement character."""
+        ids = np.asarray(ids, np.int64)
+        if not self.hard[ids].any():
+            return "".join(map(self.plain.__getitem__, ids.tolist())).replace(MARK, " ")[1:]
         parts: list[str] = []
         raw = bytearray()
-        for i in ids:
+        for i in ids.tolist():
             if self.is_byte[i]:
                 raw.append(int(self.piece[i][3:5], 16))
                 continue
@@ -162,6 +168,6 @@ def decode(docs: DataFrame, model: str, ids: str = "pieces", into: str = "decode
 
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
-        return pa.array([pieces_of(shared.value).decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists], pa.string())
+        return pa.array([pieces_of(shared.value).decode(x.values.to_numpy() if x.is_valid else []) for x in lists], pa.string())
 
     return small_batches(docs).withColumn(into, decoded(ids))
