@@ -96,6 +96,13 @@ def test_jaccard_join_empty_and_one_of_each(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 9]
 
 
+def test_one_of_each_keeps_each_text_under_null_and_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (1, text("b") + " more"), (2, text("c")), (2, text("d")), (3, text("d") + " more"), (4, text("e")), (None, None), (5, None)]
+    kept = [(r.doc_id, r.text) for r in nearjoin.one_of_each(docs(spark, rows)).collect()]
+    assert Counter(kept) == Counter([rows[0], rows[1], rows[4], rows[5], rows[7], rows[8], rows[9]])
+
+
 def test_divide_skip_against_sets():
     import numpy as np
 

@@ -14,7 +14,8 @@
 
 Results are exact but for collisions of 64-bit shingle hashes. Groups of copies collapse in step 1, groups of near copies by
 their first links in step 3, so neither is expanded into pairs. Null and empty texts have no shingles and link with nothing.
-Rows with one doc_id are one document, linked if any of its texts links; null ids are one document. Texts are scanned whole.
+Rows with one doc_id are one document, linked if any of its texts links; null ids are one document (not so in one_of_each,
+where each distinct text under an id, null or not, is a document of its own). Texts are scanned whole.
 An empty table gives an empty result. Other columns of the input are ignored.
 """
 
@@ -269,9 +270,14 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, num: int = 75, den: in
 
     Two documents link when den * |intersection| >= num * |union| of their sets of n_words-word shingles.
     """
-    spark = small_batches(docs).sparkSession
-    sc = spark.sparkContext
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return _placed(texts, n_words, num, den, sketch_bits, heavy).select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("c").alias("component_id"))
+
+
+def _placed(texts: DataFrame, n_words: int = 5, num: int = 75, den: int = 100, sketch_bits: int = SKETCH_BITS, heavy: int = HEAVY) -> DataFrame:
+    """One row for each of texts (id, text): id, n shingles, c (the smallest id reachable by links); equal ids are one document."""
+    sc = small_batches(texts).sparkSession.sparkContext
     first = written(texts.mapInArrow(_first_pass(n_words, sketch_bits), "id long, n long, s1 long, s2 long, slice int, counts binary"), "first")
     rows = first.where("slice IS NULL").select("id", "n", "s1", "s2")
     slices = first.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(_added, "slice int, counts binary").collect()
@@ -319,16 +325,22 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, num: int = 75, den: in
 
     # Back to all documents; documents without shingles are alone.
     comp_of = member.join(merged.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("c"))
-    placed = rows.select("id", "n").join(comp_of, "id", "left").select("id", "n", F.coalesce("c", "id").alias("c"))
-    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return placed.select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("c").alias("component_id"))
+    return rows.select("id", "n").join(comp_of, "id", "left").select("id", "n", F.coalesce("c", "id").alias("c"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs less all but one document of each component: the row with the smallest doc_id stays (of equal ids, one row)."""
-    comps = jaccard_components(docs, **options)
-    stays = comps.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k")).distinct()
+    """docs less all but one row of each component: the one with the smallest doc_id stays (null before all; of equal ids, the
+    one whose text hashes lowest).
+
+    Here each distinct text under an id is a document of its own, also where the id is null: a 64-bit hash of both is its key.
+    Only rows with equal id and equal text are one.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key, h = F.xxhash64(doc_id, text), F.xxhash64(text)
+    comps = _placed(docs.select(key.alias("id"), text.alias("text")), **options).select(F.col("id").alias("k"), "c").distinct()
+    ids = docs.select(key.alias("k"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("i"), h.alias("h")).distinct()
+    stays = comps.join(ids, "k").groupBy("c").agg(F.min(F.struct("i", "h", "k")).alias("m")).select("m.k")
     # The key travels beside the row, so that no name of the input's can clash with it.
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("h"))
-    first = F.row_number().over(Window.partitionBy("k").orderBy("h"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("k"), doc_id.alias("i"), h.alias("h"))
+    first = F.row_number().over(Window.partitionBy("k", "i", "h").orderBy("h"))
     return rows.join(stays, "k", "left_semi").withColumn("first", first).where("first = 1").select("row.*")
