@@ -181,6 +181,14 @@ def test_extraction(body, text):
     assert extraction.main_text(page, extraction.model()) == text
 
 
+@pytest.mark.parametrize("n", [12, 300])
+def test_letters_that_lower_makes_longer_move_no_end_tag(n):
+    from weftgraph.llm.dom import blocks
+
+    page = "<p>" + "\u0130" * n + "</p><SCRIPT>var a;</Script>some words here<script>var b;</SCRIPT><p>more</p>"
+    assert [b.text for b in blocks(page)] == ["\u0130" * n, "some words here", "more"]
+
+
 def test_extraction_on_held_out_pages():
     crf = extraction.model()
     right = total = 0

@@ -24,6 +24,8 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Case is folded in ASCII only, in the page itself: lower() of a page can be longer than the page.
+RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -133,7 +135,6 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     r, at, n = _Reader(), 0, len(page)
-    lower = None
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -156,10 +157,8 @@ def blocks(page: str | None) -> list[Block]:
             if tag not in ("svg", "math", "select"):
                 r.flush()
             if not m[3].endswith("/") or tag not in ("svg", "math"):
-                lower = page.lower() if lower is None else lower
-                close = lower.find("</" + tag, at)
-                close = n if close < 0 else close
-                end = page.find(">", close)
+                close = RAW_END[tag].search(page, at)
+                end = page.find(">", close.end()) if close else -1
                 at = n if end < 0 else end + 1
             continue
         r.start(tag, m[3])
