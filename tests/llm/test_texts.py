@@ -161,6 +161,20 @@ def test_edited_pairs_over_many_rows_and_none(spark):
     assert len(r.winnowed.hashes) == len(r.winnowed.positions) > 0
 
 
+def test_half_equal_texts_of_any_length_are_alike():
+    rnd = random.Random(8)
+    make = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz 中文字") for _ in range(n))
+    for n in (*range(1, 300), 1000):
+        for m in (0, 3, n // 2, n, 5 * n):
+            text, following = make(n), make(m)
+            h, at = winnowing.winnow(text)
+            row = winnowing._row((1, text, 0, 0, h, at), following, winnowing.winnow(following)[0], winnowing.K, None)
+            assert 0 < row[5] <= 1, (n, m)
+        if n >= 60:  # half-equal texts share hashes in the stored fingerprints too, if the half is K long
+            edited = text[: n - n // 2] + make(n // 2)
+            assert set(h.tolist()) & set(winnowing.winnow(edited)[0].tolist())
+
+
 PAGE = "<html><head><title>T</title><script>var t='<p>no</p>';</script></head><body><nav><ul><li><a href=/>Menu</a></li></ul></nav>{}<footer>&copy; x</footer></body></html>"
 
 

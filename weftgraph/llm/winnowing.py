@@ -2,7 +2,12 @@
 
 Every run of K code points is hashed by a rolling polynomial; of every WINDOW hashes in a row the smallest is kept, the
 rightmost of equals. Any passage of K + WINDOW - 1 code points that two texts share leaves the same hash in both, at the
-position of the passage in each; positions are kept for that. Texts shorter than K have one hash, of the whole text.
+position of the passage in each; positions are kept for that. In texts of less than twice that length the window shrinks, so
+that half the text is enough, down to 1; a smaller window keeps all that a larger one keeps, so fingerprints of all lengths
+compare. Texts shorter than K have one hash, of the whole text.
+
+near_edited and near_next compare a pair of which one text is so short by shorter runs as well (fitted), so that a passage of
+half the shorter text, at any length, is found; of texts of a few code points that is a comparison of single code points.
 
 Null and empty texts have an empty fingerprint; two empty fingerprints are alike (1), an empty and another are not (0).
 Equal texts have equal fingerprints. Texts of any length are hashed in segments. An empty table gives an empty result. Other
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textscan import BASE, INVERSES, POWERS, U, mix64
 
-K, WINDOW = 32, 96
+K, WINDOW = 25, 26
 SEGMENT = 1 << 19
 LOW = (1 << 24) - 1
 RECORD = np.dtype([("hash", ">u8"), ("at", ">u4")])
@@ -47,10 +52,21 @@ def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
         return mix64((sums[k:] - sums[:-k]) * INVERSES[: len(codes) - k + 1] ^ U(k)) >> U(24)
 
 
-def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the fingerprint of one text, by position."""
+def fitted(n: int, k: int = K, window: int | None = None) -> tuple[int, int]:
+    """(k, window) that guarantee a match for a passage of half of n code points, or as given where they do."""
+    window = window or WINDOW
+    half = max(1, n // 2)
+    if k + window - 1 <= half:
+        return k, window
+    k = min(k, (half + 1) // 2)
+    return k, min(window, half - k + 1)
+
+
+def winnow(text: str, k: int = K, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the fingerprint of one text, by position; without a window, WINDOW or less in a short text."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(codes)
+    window = max(1, min(WINDOW, n // 2 - k + 1)) if window is None else window
     if not n:
         return np.zeros(0, U), np.zeros(0, np.int64)
     if n < k:
@@ -90,7 +106,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2.0 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b))
 
 
-def with_fingerprint(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def alike(a: str, b: str, of_a: np.ndarray, of_b: np.ndarray, k: int = K, window: int | None = None) -> float:
+    """The likeness of two texts from their hashes of (k, window), or from shorter runs if one text needs them."""
+    n = min(len(a), len(b))
+    fit = fitted(n, k, window)
+    if not n or a == b or fit == (k, window or WINDOW):
+        return likeness(of_a, of_b)
+    return likeness(winnow(a, *fit)[0], winnow(b, *fit)[0])
+
+
+def with_fingerprint(docs: DataFrame, k: int = K, window: int | None = None) -> DataFrame:
     """docs with a struct winnowed of hashes and positions (arrays of long); a column of that name is replaced."""
 
     @F.arrow_udf("struct<hashes:array<long>,positions:array<long>>")
@@ -127,7 +152,7 @@ def _dealt(bounds: np.ndarray, top: int | None):
     return deal
 
 
-def _compared(k: int, window: int):
+def _compared(k: int, window: int | None):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (doc_id, text, part, trail, hashes, positions)
         for batch in batches:
@@ -148,16 +173,16 @@ def _compared(k: int, window: int):
     return compare
 
 
-def _row(held: tuple, following: str, following_hashes: np.ndarray, k: int, window: int) -> tuple:
+def _row(held: tuple, following: str, following_hashes: np.ndarray, k: int, window: int | None) -> tuple:
     doc_id, text, _, _, h, at = held
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
     eh, eat = winnow(edited, k, window)
     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), sha, as_string(h, at), as_string(eh, eat), likeness(h, eh), likeness(h, following_hashes)
+    return doc_id, len(text), sha, as_string(h, at), as_string(eh, eat), alike(text, edited, h, eh, k, window), alike(text, following, h, following_hashes, k, window)
 
 
-def edited_pairs(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def edited_pairs(docs: DataFrame, k: int = K, window: int | None = None) -> DataFrame:
     """Each document against its edited text and against the next document, in descending order of doc_id (RESULT).
 
     Range bounds are ids of documents; the text at a bound is sent to both sides, so that every task holds the document
