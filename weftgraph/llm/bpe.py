@@ -18,8 +18,8 @@ class Merges:
         self.rank, self.limit = rank, limit
         self._apart: dict = {}
 
-    def merge(self, symbols: Sequence) -> list:
-        """The tokens of a sequence of symbols, pair by pair: what all else here must agree with."""
+    def merge(self, symbols: Sequence, log: list | None = None) -> list:
+        """The tokens of a sequence of symbols, pair by pair: what all else here must agree with. log: gets the merged pairs."""
         token = list(symbols)
         after = list(range(1, len(token))) + [-1]
         before = list(range(-1, len(token) - 1))
@@ -38,6 +38,8 @@ class Merges:
             if token[i] != a or j < 0 or token[j] != b:
                 continue
             token[i], token[j], after[i] = whole, None, after[j]
+            if log is not None:
+                log.append((a, b))
             if after[i] >= 0:
                 before[after[i]] = i
             if before[i] >= 0:
@@ -45,6 +47,11 @@ class Merges:
             push(i)
         return [t for t in token if t is not None]
 
+    def halves(self, symbols: Sequence) -> tuple | None:
+        """The last pair that merging joins, if it gives one token of several symbols."""
+        log: list = []
+        return log[-1] if len(self.merge(symbols, log)) == 1 and log else None
+
     def apart(self, a, b, symbols: Callable) -> bool:
         """Whether merging the text of a and b gives a and b again. symbols(token): the symbols it is made of."""
         key = (a, b)
