@@ -98,6 +98,61 @@ def words(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The hashes of the bytes of spans that rise and do not overlap, of any length; equal bytes have equal hashes."""
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(ends, starts[i] + WINDOW, "right"))
+        if j <= i:
+            out[i] = _long_word(data[starts[i] : ends[i]], lower)
+            i += 1
+            continue
+        base = int(starts[i])
+        part = data[base : int(ends[j - 1])]
+        if lower:
+            part = LOWER[part]
+        s, e = starts[i:j] - base, ends[i:j] - base
+        with np.errstate(over="ignore"):
+            sums = np.empty(len(part) + 1, U)
+            sums[0] = 0
+            np.cumsum(BYTE_VALUE[part] * POWERS[: len(part)], out=sums[1:])
+            out[i:j] = mix64((sums[e] - sums[s]) * INVERSES[s] ^ ((e - s).astype(U) * U(0xD6E8FEB86659FD93)))
+        i = j
+    return out
+
+
+def trimmed_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place in the document, start, end, code points) of the lines of documents whose bytes lie between the
+    offsets; start and end leave out the blanks at both ends of a line. Every document has a line at least."""
+    first_byte, last_byte = int(offsets[0]), int(offsets[-1])
+    part = data[first_byte:last_byte]
+    offsets = offsets - first_byte
+    docs = len(offsets) - 1
+    breaks = np.flatnonzero(part == 10)
+    per_doc = np.diff(np.searchsorted(breaks, offsets)) + 1
+    first = np.cumsum(per_doc) - per_doc
+    doc = np.repeat(np.arange(docs), per_doc)
+    place = np.arange(len(doc)) - first[doc]
+    starts, ends = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    inner = np.ones(len(doc), bool)
+    inner[first] = False
+    starts[first], starts[inner] = offsets[:-1], breaks + 1
+    inner[:] = True
+    inner[first + per_doc - 1] = False
+    ends[first + per_doc - 1], ends[inner] = offsets[1:], breaks
+    solid = np.flatnonzero(~IS_BLANK[part])
+    a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = b > a
+    ends = np.where(some, solid[np.maximum(b, 1) - 1] + 1 if len(solid) else 0, starts)
+    starts = np.where(some, solid[np.minimum(a, max(len(solid) - 1, 0))] if len(solid) else 0, starts)
+    chars = ends - starts
+    if len(part) and part.max() > 127:
+        inside = np.concatenate(([0], np.cumsum((part & 0xC0) == 0x80, dtype=np.int64)))
+        chars = chars - (inside[ends] - inside[starts])
+    return doc, place, starts + first_byte, ends + first_byte, chars
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n-word windows in order; with fewer words the whole sequence as one; none without words."""
     if not len(hashes):
@@ -110,6 +165,38 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def joined_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of documents whose bytes lie between the offsets, where each document's begin)."""
+    docs = len(offsets) - 1
+    part = data[offsets[0] : offsets[-1]]
+    if docs == 1:
+        hashes, _, _ = words(part, lower)
+        return hashes, np.array([0, len(hashes)])
+    # Words must not run across documents: a blank goes between them.
+    joined = np.full(len(part) + docs, 32, np.uint8)
+    joined[np.arange(len(part)) + np.repeat(np.arange(docs), np.diff(offsets))] = part
+    hashes, starts, _ = words(joined, lower)
+    return hashes, np.searchsorted(starts, offsets - offsets[0] + np.arange(docs + 1))
+
+
+def shingles_of_each(hashes: np.ndarray, edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of each document in a row, where each document's begin) from the words of several documents."""
+    counts = np.diff(edges)
+    sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.empty(int(starts[-1]), U)
+    full = counts >= n
+    if full.any():
+        whole = shingles(hashes, n) if len(hashes) >= n else np.zeros(0, U)
+        # Windows that start in a document of n words or more and end in it.
+        inside = np.repeat(full, sizes)
+        at = np.arange(len(out)) + np.repeat(edges[:-1] - starts[:-1], sizes)
+        out[inside] = whole[at[inside]]
+    for i in np.flatnonzero((counts > 0) & ~full).tolist():
+        out[starts[i]] = shingles(hashes[edges[i] : edges[i + 1]], n)[0]
+    return out, starts
+
+
 def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all rows, offsets) of an Arrow string or binary array; null rows are empty."""
     import pyarrow as pa
