@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weftgraph import catalogue
+from weftgraph.registry import ORACLE, QUERIES
 from weftgraph.model import EXISTS, VertexPattern
 from weftgraph.operators import pattern, select
 from weftgraph.operators.pattern import Condition, Hop
@@ -26,18 +26,18 @@ def duck(data):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, data, duck, name):
-    frame = catalogue.QUERIES[name](spark, data)
+    frame = QUERIES[name](spark, data)
     got = sorted(tuple(shown(r[c]) for c in sorted(frame.columns)) for r in frame.collect())
-    sql = duck.sql(catalogue.ORACLE[name])
+    sql = duck.sql(ORACLE[name])
     assert sorted(sql.columns) == sorted(frame.columns)
     want = sorted(tuple(shown(dict(zip(sql.columns, r, strict=True))[c]) for c in sorted(sql.columns)) for r in sql.fetchall())
     assert got == want
 
 
 def test_every_graph_query_has_sql():
-    assert set(catalogue.QUERIES) == set(catalogue.ORACLE) and set(catalogue.QUERIES) <= set(entry.queries())
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -68,7 +68,7 @@ def test_layouts_agree(spark, data):
 
 
 def test_filters_and_columns_reach_the_scan(spark, data):
-    plan = lambda name: catalogue.QUERIES[name](spark, data)._jdf.queryExecution().toString()
+    plan = lambda name: QUERIES[name](spark, data)._jdf.queryExecution().toString()
     found = plan("select_vertex_eq")
     assert "EqualTo(c_mktsegment,BUILDING)" in found and "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in found
     found = plan("match_path")

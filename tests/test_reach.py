@@ -5,7 +5,8 @@ import os
 import pytest
 
 from tests.test_random_graphs import bfs
-from weftgraph import catalogue
+import __spark_entry__  # noqa: F401  registers the queries
+from weftgraph.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -28,12 +29,12 @@ def test_distances_have_no_bound(spark, long_way):
     d, edges = long_way
     want = bfs(edges, "s:0")
     assert max(want.values()) == 10
-    assert {r.vertex_id: r.hops for r in catalogue.QUERIES["bfs_distance_all"](spark, d).collect()} == want
+    assert {r.vertex_id: r.hops for r in QUERIES["bfs_distance"](spark, d).collect()} == want
 
 
 @pytest.mark.parametrize(("name", "target"), [("bfs_path", "s:50"), ("bfs_path_reversed", "s:50"), ("bfs_path_predicate", "s:5")])
 def test_paths_have_no_bound(spark, long_way, name, target):
     d, _ = long_way
-    path = [r.vertex_id for r in catalogue.QUERIES[name](spark, d).orderBy("step").collect()]
+    path = [r.vertex_id for r in QUERIES[name](spark, d).orderBy("step").collect()]
     want = ["s:0", "p:1", "s:1", "p:2", "s:2", "p:3", "s:3", "p:4", "s:4", "p:5", target]
     assert path == (want[::-1] if name.endswith("reversed") else want)

@@ -1,8 +1,12 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from tests.graphs import social
-from weftgraph.model import PropertyGraph, edge_rows, type_rows, vertex_rows
+from tests.graphs import social, students
+from weftgraph.model import PropertyGraph, edge_rows, empty_graph, type_rows, vertex_rows
 from weftgraph.operators import mutate
+from weftgraph.plans.session import Session
 from weftgraph.sources import storage
 from weftgraph.streaming.changelog import ChangeLog, autosave, changes
 
@@ -53,4 +57,59 @@ def test_change_log(spark, tmp_path):
     log.follow(lambda batch, n: seen.extend(f"again {r.op} {r.id}" for r in batch.collect()), "watch", kind="vertex").awaitTermination(120)
     assert sorted(seen) == ["aaa", "again add ccc", "again change aaa", "ccc"]
     log.follow(autosave(lambda: g, f"{tmp_path}/saved"), "save").awaitTermination(120)
-    assert storage.load(spark, f"{tmp_path}/saved/0").vertices.count() == 8
+    assert storage.load(spark, f"{tmp_path}/saved").vertices.count() == 8
+
+
+def test_saving_in_place_keeps_the_graph(spark, tmp_path):
+    path = f"{tmp_path}/g"
+    storage.save(social(spark), path)
+    with pytest.raises(FileExistsError):
+        storage.save(social(spark), path)
+    for age in (5, 6, 7):
+        g = mutate.set_attributes(storage.load(spark, path), F.col("id") == "aaa", {"age": age})
+        want = content(g)
+        storage.save(g, path, mode="overwrite")
+        assert content(storage.load(spark, path)) == want
+    assert len([x for x in os.listdir(path) if x.startswith("v-")]) == 2
+    text = f"{tmp_path}/t"
+    storage.export_text(social(spark), text)
+    for _ in range(2):
+        storage.export_text(storage.import_text(spark, text), text)
+    assert content(storage.import_text(spark, text)) == content(social(spark))
+    version = storage.current_version(spark, path)  # a save that is cut off before the pointer is in place
+    os.rename(f"{path}/{storage.POINTER}", f"{path}/{storage.POINTER}.{version}")
+    assert content(storage.load(spark, path)) == want
+    with pytest.raises(FileNotFoundError):
+        storage.load(spark, f"{tmp_path}/nowhere")
+
+
+def test_session_opens_changes_saves_and_tells(spark, tmp_path):
+    path, log = f"{tmp_path}/db", ChangeLog(spark, f"{tmp_path}/log")
+    storage.save(students(spark), path)
+    s = Session.open(spark, path, log=log, autosave=True)
+    told = []
+    s.subscribe(lambda rows, version: told.append((version, {(r.kind, r.op) for r in rows.collect()})))
+    s.execute('create vertex {type(name:"Student"){"Ann", 7}} create edge vertex(Name:"Ann")-[knows]-vertex(Name:"Peiming")')
+    s.execute('alter vertex(Name:"Ann") change {Age:"30"} alter type(name:"Student") change {Num:Number} create type {name:"Other", a} create type {name:"Other", b}')
+    s.execute('alter delete edge(vertex(Name:"Ann"), vertex(Name:"Peiming"), knows) alter delete vertex(Name:"Peiming") change {Age} alter delete vertex(Name:"Ann") alter delete type(name:"Other")')
+    want = [
+        {("vertex", "add")}, {("edge", "add")}, {("vertex", "change")}, {("type", "change"), ("vertex", "change")}, {("type", "add")}, set(),
+        {("edge", "remove")}, {("vertex", "change")}, {("vertex", "remove"), ("edge", "remove")}, {("type", "remove")},
+    ]
+    assert told == list(enumerate(want, 1))
+    assert log.read().where("version = 3").select(F.get_json_object("payload", "$.attrs[0].value.s")).first()[0] == "30"
+    assert content(Session.open(spark, path).graph) == content(s.graph) and s.graph.vertices.count() == 3
+    assert Session.open(spark, path, log=log)._version == 10
+    s.save(f"{tmp_path}/copy")
+    assert s.path == f"{tmp_path}/copy" and content(storage.load(spark, s.path)) == content(s.graph)
+    with pytest.raises(ValueError):
+        Session(students(spark)).save()
+    with pytest.raises(ValueError):
+        Session(students(spark), autosave=True)
+
+
+def test_saved_where_a_new_session_makes_the_graph(spark, tmp_path):
+    s = Session(empty_graph(spark), path=f"{tmp_path}/new", autosave=True)
+    s.execute("create vertex {a:1} create vertex {b:2} create edge vertex(a:1)-[x:3]->vertex(b:2)")
+    g = Session.open(spark, f"{tmp_path}/new").graph
+    assert (g.vertices.count(), g.edges.count()) == (2, 1)

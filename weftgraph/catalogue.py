@@ -2,43 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.attributes import EXISTS, MapAccess, untagged  # noqa: F401
+from .functions.attributes import EXISTS, MapAccess
 from .model import PropertyGraph, VertexPattern, edge_rows, type_rows, union, vertex_rows
 from .operators import mutate, pattern, select, traverse
 from .operators.pattern import Condition, Hop
+from .plans.scratch import root
 from .plans.session import Session
+from .registry import query
 from .sources import storage
 from .sources.tables import trade_graph
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
 V = VertexPattern
 BUILDING = V("customer", (("c_mktsegment", "BUILDING"),))
 URGENT = V("order", (("o_orderpriority", "1-URGENT"),))
 
 
-def _small(g) -> PropertyGraph:
-    """Customers, orders and their edges in the map layout, for changes: the tables that the change queries read."""
-    wide = type(g)({k: g.vertex_tables[k] for k in ("customer", "order")}, {"placed": g.edge_tables["placed"]})
-    return wide.to_map_layout()
+def whole(spark, d) -> PropertyGraph:
+    """All vertices, edges and types in the map layout."""
+    return trade_graph(spark, d).to_map_layout()
 
 
 def _customers(g: PropertyGraph, frame: DataFrame | None = None) -> DataFrame:
@@ -250,29 +236,27 @@ def match_path_mode(spark, d):
     return Session(trade_graph(spark, d), strict=False, star_as_path=True).query(text)
 
 
-CONNECTED = "SELECT 'c:' || a.c_custkey AS src, 'c:' || b.c_custkey AS dst FROM customer a, customer b WHERE a.c_custkey < 5 AND b.c_custkey BETWEEN 10 AND 12"
+CONNECTED = "SELECT 'c:' || c_custkey AS src, 'r:' || r_regionkey AS dst FROM customer, region WHERE c_mktsegment = 'BUILDING'"
 
 
-def _connected(spark, d, both: bool) -> DataFrame:
-    g = _small(trade_graph(spark, d))
-    key = F.substring("id", 3, 20).cast("long")
-    of = g.vertices.where("type_id = 'customer'")
-    h = mutate.connect(g, of.where(key < 5), of.where((key >= 10) & (key <= 12)), {"knows": None}, both)
-    return select.select_edges(h, "knows").select("src", "dst")
+def _connected(spark, d, arrow: str) -> DataFrame:
+    s = Session(whole(spark, d))
+    s.execute(f'create edge vertex(c_mktsegment:"BUILDING")-[knows:3]{arrow}vertex(r_name:)')
+    return select.select_edges(s.graph, "knows", 3).select("src", "dst")
 
 
 @query(CONNECTED)
 def create_edge_cross(spark, d):
-    return _connected(spark, d, False)
+    return _connected(spark, d, "->")
 
 
 @query(f"WITH e AS ({CONNECTED}) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e")
 def create_edge_bidir(spark, d):
-    return _connected(spark, d, True)
+    return _connected(spark, d, "-")
 
 
 def _created(spark, d, statement: str, where: str) -> DataFrame:
-    s = Session(_small(trade_graph(spark, d)))
+    s = Session(whole(spark, d))
     s.execute(statement)
     frame = s.graph.vertices.where(where)
     return _customers(s.graph, frame).select("type_id", "c_name", "c_acctbal", "c_mktsegment")
@@ -296,15 +280,15 @@ def create_vertex_positional(spark, d):
     return _created(spark, d, 'create vertex {type(name:"customer"){"New", -2.0, "NONE"}, go:"20"}', "type_id = 'customer'")
 
 
-@query("SELECT * FROM (VALUES ('customer'), ('order'), ('reviewer')) t(name)")
+@query("SELECT * FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('order'), ('reviewer')) t(name)")
 def create_type(spark, d):
-    s = Session(_small(trade_graph(spark, d)))
+    s = Session(whole(spark, d))
     s.execute('create type {name:"reviewer", stars, words}')
     return s.graph.types.select("name")
 
 
 def _altered(spark, d, statement: str) -> DataFrame:
-    s = Session(_small(trade_graph(spark, d)))
+    s = Session(whole(spark, d))
     s.execute(statement)
     return _customers(s.graph).where("id LIKE 'c:%'")
 
@@ -333,127 +317,126 @@ def alter_drop_attr(spark, d):
     return _altered(spark, d, 'alter delete vertex(c_mktsegment:"BUILDING") change {c_acctbal}')
 
 
-@query("SELECT 'c:' || o_custkey AS src, 'o:' || o_orderkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+EDGES = {
+    "in_region": "SELECT 'n:' || n_nationkey AS src, 'r:' || n_regionkey AS dst FROM nation",
+    "in_nation": "SELECT 'c:' || c_custkey AS src, 'n:' || c_nationkey AS dst FROM customer UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier",
+    "placed": "SELECT 'c:' || o_custkey AS src, 'o:' || o_orderkey AS dst FROM orders",
+    "contains": "SELECT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst FROM lineitem",
+    "supplies": "SELECT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst FROM lineitem",
+}
+EDGE_SQL = " UNION ALL ".join(EDGES.values())
+
+
+@query(f"SELECT src, dst FROM ({EDGE_SQL}) WHERE src NOT IN (SELECT 'c:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def delete_vertex_cascade(spark, d):
-    s = Session(_small(trade_graph(spark, d)))
+    s = Session(whole(spark, d))
     s.execute('alter delete vertex(c_mktsegment:"BUILDING")')
     return s.graph.edges.select("src", "dst")
 
 
 @query(
-    "SELECT 'c:' || o_custkey AS src, 'o:' || o_orderkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE NOT (c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT')"
+    f"SELECT src, dst FROM ({EDGE_SQL}) WHERE NOT (src IN (SELECT 'c:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND dst IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'))"
 )
 def delete_edge(spark, d):
-    s = Session(_small(trade_graph(spark, d)))
+    s = Session(whole(spark, d))
     s.execute('alter delete edge(vertex(c_mktsegment:"BUILDING"), vertex(o_orderpriority:"1-URGENT"), placed)')
     return s.graph.edges.select("src", "dst")
 
 
-@query("SELECT 'order' AS type_id, count(*) AS n FROM orders UNION ALL SELECT NULL, count(*) FROM customer")
+TABLE_OF = {"region": ("region", "r_regionkey", "r:"), "nation": ("nation", "n_nationkey", "n:"), "customer": ("customer", "c_custkey", "c:"), "supplier": ("supplier", "s_suppkey", "s:"), "part": ("part", "p_partkey", "p:"), "order": ("orders", "o_orderkey", "o:")}
+TYPE_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS t, count(*) AS n FROM {t}" for n, (t, _, _) in TABLE_OF.items())
+MEMBERS = " UNION ALL ".join(f"SELECT '{p}' || {k} AS id, '{n}' AS type_id FROM {t}" for n, (t, k, p) in TABLE_OF.items())
+
+
+@query(f"SELECT nullif(t, 'customer') AS type_id, n FROM ({TYPE_COUNTS})")
 def delete_type(spark, d):
-    s = Session(_small(trade_graph(spark, d)))
+    s = Session(whole(spark, d))
     s.execute('alter delete type(name:"customer")')
     return s.graph.vertices.groupBy("type_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'client' AS type_name, count(*) AS n FROM customer UNION ALL SELECT 'order', count(*) FROM orders")
+@query(f"SELECT replace(t, 'customer', 'client') AS type_name, n FROM ({TYPE_COUNTS})")
 def rename_type(spark, d):
-    s = Session(_small(trade_graph(spark, d)))
+    s = Session(whole(spark, d))
     s.execute('alter type(name:"customer") change {"client"}')
     return select.type_counts(s.graph)
 
 
 @query("SELECT 'c:' || c_custkey AS id, c_mktsegment AS branch FROM customer")
 def rename_attr(spark, d):
-    s = Session(_small(trade_graph(spark, d)))
+    s = Session(whole(spark, d))
     s.execute('alter type(name:"customer") change {c_mktsegment:branch}')
     return select.select_vertices(s.graph, "branch").select("id", MapAccess().value("branch")["s"].alias("branch"))
 
 
-@query("SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey < 100")
+@query(VERTEX_SQL)
 def bulk_add_rejects(spark, d):
-    g = _small(trade_graph(spark, d))
-    old = g.vertices.where("id LIKE 'c:%'").where(F.substring("id", 3, 20).cast("long") < 100).select("id", "type_id", "attrs")
-    new = old.unionByName(vertex_rows(spark, [("x:1", None, {"a": 1})]).select("id", "type_id", "attrs"))
+    """All vertices there are and a new one are offered; all but that one are rejected."""
+    g = whole(spark, d)
+    new = g.vertices.select("id", "type_id", "attrs").unionByName(vertex_rows(spark, [("x:1", None, {"a": 1})]).select("id", "type_id", "attrs"))
     return mutate.add_vertices(g, new)[1].select("id")
 
 
 @query("SELECT 'c:1' AS src, 'o:missing' AS dst")
 def add_edges_rejects(spark, d):
-    g = _small(trade_graph(spark, d))
+    g = whole(spark, d)
     new = edge_rows(spark, [("e1", "c:1", "o:missing", {}), ("e2", "c:1", "c:2", {"knows": 3})])
     return mutate.add_edges(g, new)[1].select("src", "dst")
 
 
-def _supplies(spark, d, one_only: bool) -> DataFrame:
+def _supplies(spark, d, where: str | None = None) -> DataFrame:
+    """(src, dst, w): supplies, both ways; parallel edges come each."""
     (e,) = trade_graph(spark, d).edge_sets("supplies")
-    frame = e.frame.where(e.access.equals("supplies", 1.0)) if one_only else e.frame
-    there = frame.groupBy("s", "d").agg(F.min("l_quantity").alias("w")).select(e.src_id.alias("src"), e.dst_id.alias("dst"), "w")
+    there = (e.frame.where(where) if where else e.frame).select(e.src_id.alias("src"), e.dst_id.alias("dst"), F.col("l_quantity").alias("w"))
     return there.unionByName(there.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
-BFS_SQL = """
-WITH RECURSIVE e AS (
-  SELECT DISTINCT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst FROM lineitem WHERE l_quantity = 1
-  UNION SELECT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem WHERE l_quantity = 1),
-walk(v, h) AS (SELECT 's:0', 0 UNION SELECT e.dst, h + 1 FROM walk JOIN e ON v = e.src WHERE h < 8),
-lvl AS (SELECT v, min(h) AS h FROM walk GROUP BY v),
-pred AS (SELECT b.v, min(a.v) AS p FROM lvl a JOIN e ON e.src = a.v JOIN lvl b ON b.v = e.dst AND b.h = a.h + 1 GROUP BY b.v),
-back(v, h) AS (SELECT v, h FROM lvl WHERE v = 's:50' UNION ALL SELECT p.p, back.h - 1 FROM back JOIN pred p ON p.v = back.v)
+# The table that USING KEY keeps lets the recursions end by themselves, however many hops there are.
+WALK = """
+walk(v, h) USING KEY (v) AS (SELECT 's:0', 0
+  UNION SELECT e.dst, min(walk.h) + 1 FROM walk JOIN e ON walk.v = e.src WHERE {stop} e.dst NOT IN (SELECT v FROM recurring.walk) GROUP BY e.dst),
+pred AS (SELECT b.v, min(a.v) AS p FROM walk a JOIN e ON e.src = a.v JOIN walk b ON b.v = e.dst AND b.h = a.h + 1 GROUP BY b.v),
+back(v, h) AS (SELECT v, h FROM walk WHERE v = '{target}' UNION ALL SELECT p.p, back.h - 1 FROM back JOIN pred p ON p.v = back.v)
 """
-
-
-@query(BFS_SQL + "SELECT v AS vertex_id, h::INT AS hops FROM lvl")
-def bfs_distance(spark, d):
-    return traverse.bfs_levels(_supplies(spark, d, True), "s:0", max_hops=8).select(F.col("v").alias("vertex_id"), F.col("h").alias("hops"))
-
-
-# Without a bound: the table that USING KEY keeps lets the recursion end by itself. bfs_distance is the range its SQL states.
-BFS_ALL_SQL = """
+BFS_SQL = (
+    """
 WITH RECURSIVE e AS (
   SELECT DISTINCT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst FROM lineitem WHERE l_quantity = 1
-  UNION SELECT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem WHERE l_quantity = 1),
-walk(v, h) USING KEY (v) AS (SELECT 's:0', 0
-  UNION SELECT e.dst, min(walk.h) + 1 FROM walk JOIN e ON walk.v = e.src WHERE e.dst NOT IN (SELECT v FROM recurring.walk) GROUP BY e.dst)
-"""
+  UNION SELECT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem WHERE l_quantity = 1),"""
+    + WALK.format(stop="", target="s:50")
+)
 
 
-@query(BFS_ALL_SQL + "SELECT v AS vertex_id, h::INT AS hops FROM walk")
-def bfs_distance_all(spark, d):
-    return traverse.bfs_levels(_supplies(spark, d, True), "s:0").select(F.col("v").alias("vertex_id"), F.col("h").alias("hops"))
+@query(BFS_SQL + "SELECT v AS vertex_id, h::INT AS hops FROM walk")
+def bfs_distance(spark, d):
+    return traverse.bfs_levels(_supplies(spark, d, "l_quantity = 1"), "s:0").select(F.col("v").alias("vertex_id"), F.col("h").alias("hops"))
 
 
-# The paths' SQL looks no further than 8 hops, which holds every distance of the given tables; the queries have no bound.
 @query(BFS_SQL + "SELECT h::INT AS step, v AS vertex_id FROM back")
 def bfs_path(spark, d):
-    return traverse.shortest_path(_supplies(spark, d, True), "s:0", "s:50")
+    return traverse.shortest_path(_supplies(spark, d, "l_quantity = 1"), "s:0", "s:50")
 
 
 @query(BFS_SQL + "SELECT ((SELECT max(h) FROM back) - h)::INT AS step, v AS vertex_id FROM back")
 def bfs_path_reversed(spark, d):
-    return traverse.shortest_path(_supplies(spark, d, True), "s:0", "s:50", forward=False)
+    return traverse.shortest_path(_supplies(spark, d, "l_quantity = 1"), "s:0", "s:50", forward=False)
 
 
-@query(
+PREDICATE_SQL = (
     """
-WITH RECURSIVE e AS (
+WITH RECURSIVE f AS (
   SELECT DISTINCT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst FROM lineitem WHERE l_quantity <= 5
   UNION SELECT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem WHERE l_quantity <= 5),
-f AS (SELECT * FROM e WHERE dst LIKE 's:%' OR dst IN (SELECT 'p:' || p_partkey FROM part WHERE p_size <= 10)),
-walk(v, h) AS (SELECT 's:0', 0 UNION SELECT f.dst, h + 1 FROM walk JOIN f ON v = f.src WHERE h < 8 AND v <> 's:5'),
-lvl AS (SELECT v, min(h) AS h FROM walk GROUP BY v),
-pred AS (SELECT b.v, min(a.v) AS p FROM lvl a JOIN f ON f.src = a.v JOIN lvl b ON b.v = f.dst AND b.h = a.h + 1 GROUP BY b.v),
-back(v, h) AS (SELECT v, h FROM lvl WHERE v = 's:5' UNION ALL SELECT p.p, back.h - 1 FROM back JOIN pred p ON p.v = back.v)
-SELECT h::INT AS step, v AS vertex_id FROM back
-"""
+e AS (SELECT * FROM f WHERE dst LIKE 's:%' OR dst IN (SELECT 'p:' || p_partkey FROM part WHERE p_size <= 10)),"""
+    + WALK.format(stop="walk.v <> 's:5' AND", target="s:5")
 )
+
+
+@query(PREDICATE_SQL + "SELECT h::INT AS step, v AS vertex_id FROM back")
 def bfs_path_predicate(spark, d):
     g = trade_graph(spark, d)
-    (e,) = g.edge_sets("supplies")
-    there = e.frame.where("l_quantity <= 5").select(e.src_id.alias("src"), e.dst_id.alias("dst"))
-    edges = there.unionByName(there.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     inner = select.select_matching(g, V("part"), lambda a: a.number("p_size") <= 10).unionByName(select.select_matching(g, V("supplier")))
-    return traverse.shortest_path(edges, "s:0", "s:5", allowed=inner)
+    return traverse.shortest_path(_supplies(spark, d, "l_quantity <= 5"), "s:0", "s:5", allowed=inner)
 
 
 @query(
@@ -467,7 +450,7 @@ SELECT v AS vertex_id, min(d) AS distance FROM walk GROUP BY v
 """
 )
 def nearby(spark, d):
-    return traverse.nearby(_supplies(spark, d, False), "s:0", 5.0)
+    return traverse.nearby(_supplies(spark, d), "s:0", 5.0)
 
 
 @query("SELECT 'n:' || n_nationkey AS id, 'n_name : ' || n_name || ' ' || chr(10) AS text FROM nation")
@@ -480,22 +463,33 @@ def attrs_to_string(spark, d):
 
 
 @query(
-    "SELECT 'c:' || c_custkey || ' 3 c_acctbal ' || CASE WHEN c_acctbal = floor(c_acctbal) THEN printf('%.1f', c_acctbal) ELSE c_acctbal::VARCHAR END || ' c_mktsegment ''' || c_mktsegment || ''' c_name ''' || replace(c_name, ' ', '%20') || '''' AS line FROM customer"
+    "SELECT 'c:' || c_custkey || ' 3 c_acctbal ' || CASE WHEN c_acctbal = floor(c_acctbal) THEN printf('%.1f', c_acctbal) ELSE c_acctbal::VARCHAR END || ' c_mktsegment ''' || c_mktsegment || ''' c_name ''' || replace(c_name, ' ', '%20') || '''' AS line FROM customer "
+    "UNION ALL SELECT 'r:' || r_regionkey || ' 1 r_name ''' || replace(r_name, ' ', '%20') || '''' FROM region UNION ALL SELECT 'n:' || n_nationkey || ' 1 n_name ''' || replace(n_name, ' ', '%20') || '''' FROM nation"
 )
 def export_vertex_lines(spark, d):
-    g = trade_graph(spark, d)
-    wide = type(g)({"customer": g.vertex_tables["customer"]}, {"placed": g.edge_tables["placed"]})
-    frame = wide.vertex_sets()[0]
-    m = _small(g)
-    return storage.vertex_lines(PropertyGraph(m.vertices.where("type_id = 'customer'"), m.edges, m.types)).select(F.col("value").alias("line")) if frame else None
+    g = whole(spark, d)
+    return storage.vertex_lines(PropertyGraph(g.vertices.where("type_id IN ('customer', 'region', 'nation')"), g.edges, g.types)).select(F.col("value").alias("line"))
+
+
+def copied(spark, d) -> PropertyGraph:
+    """The whole graph, written as text and read back."""
+    path = f"{root(spark)}/weftgraph-text-{uuid.uuid4().hex}"
+    storage.export_text(whole(spark, d), path)
+    return storage.import_text(spark, path)
 
 
 @query("SELECT 'c:' || c_custkey AS id, 'customer' AS type_id, c_name, c_acctbal, c_mktsegment FROM customer")
 def roundtrip(spark, d):
-    from .plans.scratch import root
-    import uuid
+    return _customers(copied(spark, d)).where("id LIKE 'c:%'")
 
-    g = _small(trade_graph(spark, d))
-    path = f"{root(spark)}/weftgraph-text-{uuid.uuid4().hex}"
-    storage.export_text(g, path)
-    return _customers(storage.import_text(spark, path)).where("id LIKE 'c:%'")
+
+@query(MEMBERS)
+def roundtrip_members(spark, d):
+    return copied(spark, d).vertices.select("id", "type_id")
+
+
+@query("SELECT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst, l_quantity, l_linenumber::BIGINT AS l_linenumber FROM lineitem")
+def roundtrip_edges(spark, d):
+    a = MapAccess()
+    edges = select.select_edges(copied(spark, d), "contains")
+    return edges.select("src", "dst", a.value("l_quantity")["d"].alias("l_quantity"), a.value("l_linenumber")["i"].alias("l_linenumber"))

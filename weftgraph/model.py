@@ -6,6 +6,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,7 +175,20 @@ class WideGraph(GraphView):
         return F.concat(F.lit(self.vertex_tables[type_name].prefix), key.cast("string"))
 
     def to_map_layout(self) -> PropertyGraph:
-        """The same graph in the map layout, with type names as type ids."""
+        """The same graph in the map layout, with type names as type ids.
+
+        A row's place in its Parquet file is its sequence number, and file and place make an edge's id; where rows come from
+        elsewhere, a hash of all their columns stands for both.
+        """
+
+        def place(frame: DataFrame) -> tuple[Column, Column]:
+            """(sequence number, text that names the row)."""
+            try:
+                frame.select("_metadata.row_index", "_metadata.file_name").schema  # noqa: B018
+            except AnalysisException:
+                own = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in frame.columns])
+                return F.xxhash64(own), own
+            return F.col("_metadata.row_index"), F.concat_ws("|", "_metadata.file_name", "_metadata.row_index")
 
         def attrs(frame: DataFrame, columns: dict[str, str]) -> Column:
             kinds = dict(frame.dtypes)
@@ -193,7 +207,7 @@ class WideGraph(GraphView):
             return F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.expr(f"cast(map() as {ATTRS})")
 
         vertices = [
-            v.frame.select(F.lit(0).cast("bigint").alias("seq"), v.id.alias("id"), F.lit(v.type).alias("type_id"), attrs(v.frame, {a: a for a in self.vertex_tables[v.type].attributes}).alias("attrs"))
+            v.frame.select(place(v.frame)[0].cast("bigint").alias("seq"), v.id.alias("id"), F.lit(v.type).alias("type_id"), attrs(v.frame, {a: a for a in self.vertex_tables[v.type].attributes}).alias("attrs"))
             for v in self.vertex_sets()
         ]
         edges = []
@@ -203,8 +217,9 @@ class WideGraph(GraphView):
                 own = attrs(frame, t.attributes)
                 if label.lower() not in {a.lower() for a in t.attributes}:
                     own = F.map_concat(own, F.map_from_arrays(F.array(F.lit(label.lower())), F.array(F.lit(None).cast("struct<t:string,s:string,i:bigint,d:double,b:boolean>"))))
-                row_id = F.sha2(F.concat_ws("|", F.lit(label), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in t.frame.columns]), 256)
-                edges.append(frame.select(F.lit(0).cast("bigint").alias("seq"), row_id.alias("id"), self.id_of(t.src_type, F.col("s")).alias("src"), self.id_of(t.dst_type, F.col("d")).alias("dst"), own.alias("attrs")))
+                seq, name = place(t.frame)
+                row_id = F.sha2(F.concat_ws("|", F.lit(label), F.lit(t.src_type), name), 256)
+                edges.append(frame.select(seq.cast("bigint").alias("seq"), row_id.alias("id"), self.id_of(t.src_type, F.col("s")).alias("src"), self.id_of(t.dst_type, F.col("d")).alias("dst"), own.alias("attrs")))
         types = type_rows(self.spark, [(n, n, list(t.attributes)) for n, t in self.vertex_tables.items()])
         return PropertyGraph(union(vertices), union(edges), types)
 

@@ -1,7 +1,8 @@
 """Changes to a graph. Each gives a new graph; what could not be added or removed comes back beside it.
 
 A change is a plan over the old tables, so it happens as a whole or not at all. Endpoints, uniqueness and cascades are
-semi- and anti-joins, for one object as for many.
+semi- and anti-joins, for one object as for many. New rows are written when they get their ids and numbers, so that both stay
+as they are whatever is run again later.
 """
 
 from __future__ import annotations
@@ -11,33 +12,39 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.attributes import literals, upserted
 from ..model import EDGE, TYPE, VERTEX, PropertyGraph
+from ..plans.scratch import written
 
 
 def _numbered(new: DataFrame, old: DataFrame, schema: str) -> DataFrame:
-    """new with ids where they are null, and sequence numbers above the old ones."""
-    spark = new.sparkSession
-    columns = [x.split()[0] for x in schema.replace("struct<t:string,s:string,i:bigint,d:double,b:boolean>", "").split(", ") if x.strip()]
-    top = old.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top"))
-    new = new.withColumn("id", F.coalesce("id", F.expr("uuid()")))
-    out = new.crossJoin(F.broadcast(top)).withColumn("seq", F.col("top") + 1 + F.monotonically_increasing_id())  # top is one row
-    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema.fields}
-    return out.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns])
+    """new as a written table, with ids where they are null and sequence numbers above the old ones."""
+    top = old.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).first()["top"]
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
+    out = new.withColumn("id", F.coalesce("id", F.expr("uuid()"))).withColumn("seq", F.lit(top + 1) + F.monotonically_increasing_id())
+    return written(out.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()]))
 
 
 def _split_new(new: DataFrame, old: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(rows to add, rows rejected): keys that exist, and all but the first of a key in the batch, are rejected."""
     turn = F.row_number().over(Window.partitionBy(key).orderBy("seq" if "seq" in new.columns else key))
-    new = new.withColumn("_turn", F.when(F.col(key).isNull(), F.lit(1)).otherwise(turn))
-    taken = old.select(F.col(key).alias("_k")).distinct().withColumn("_taken", F.lit(True))
+    own = new.columns
+    new = written(new.withColumn("_turn", F.when(F.col(key).isNull(), F.lit(1)).otherwise(turn)))
+    # Only the old keys that the batch names matter: they are found by a semi-join, and the large table is not shuffled for
+    # a batch that is counted to be small.
+    taken = old.select(F.col(key).alias("_k")).join(few(new.select(F.col(key).alias("_k")).distinct()), "_k", "left_semi").distinct().withColumn("_taken", F.lit(True))
     marked = new.join(taken, F.col(key) == F.col("_k"), "left")
     ok = F.col("_taken").isNull() & (F.col("_turn") == 1)
-    own = new.columns[:-1]
     return marked.where(ok).select(*own), marked.where(~ok).select(*own)
 
 
+def few(keys: DataFrame, most: int = 100_000) -> DataFrame:
+    """keys, to be broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def add_vertices(g: PropertyGraph, new: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     """new: (id, type_id, attrs). Rejects ids that exist."""
     added, rejected = _split_new(new, g.vertices)
@@ -47,9 +54,9 @@ def add_vertices(g: PropertyGraph, new: DataFrame) -> tuple[PropertyGraph, DataF
 def add_edges(g: PropertyGraph, new: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     """new: (id, src, dst, attrs). Rejects ids that exist and edges without both endpoints in the graph."""
     added, rejected = _split_new(new, g.edges)
-    known = g.vertices.select(F.col("id").alias("_v")).distinct()
-    s = known.withColumnsRenamed({"_v": "_s"})
-    d = known.withColumnsRenamed({"_v": "_d"})
+    ends = new.select(F.explode(F.array("src", "dst")).alias("_v")).distinct()
+    known = g.vertices.select(F.col("id").alias("_v")).join(few(ends), "_v", "left_semi").distinct()
+    s, d = known.withColumnRenamed("_v", "_s"), known.withColumnRenamed("_v", "_d")
     marked = added.join(s, F.col("src") == F.col("_s"), "left").join(d, F.col("dst") == F.col("_d"), "left")
     ok = F.col("_s").isNotNull() & F.col("_d").isNotNull()
     good, lost = marked.where(ok).select(*added.columns), marked.where(~ok).select(*added.columns)
@@ -138,16 +145,10 @@ def rename_attribute(g: PropertyGraph, type_id: str, old: str, new: str) -> Prop
     return replace(g, types=types, vertices=_changed(g.vertices, F.col("type_id") == type_id, "attrs", swap("attrs")))
 
 
-def connect(g: PropertyGraph, sources: DataFrame, targets: DataFrame, attrs: dict[str, Any], both: bool = False, max_pairs: int = 10_000_000) -> PropertyGraph:
-    """Adds an edge from every source to every target, and back if both.
-
-    That is a product by its meaning; the two counts are checked against max_pairs before it is made.
-    """
-    n, m = sources.count(), targets.count()
-    if n * m > max_pairs:
-        raise ValueError(f"{n} sources by {m} targets are more than {max_pairs} edges")
+def connect(g: PropertyGraph, sources: DataFrame, targets: DataFrame, attrs: dict[str, Any], both: bool = False) -> PropertyGraph:
+    """Adds an edge from every source to every target, and back if both: a product by its meaning, however large."""
     pairs = sources.select(F.col("id").alias("src")).crossJoin(targets.select(F.col("id").alias("dst")))
     if both:
-        pairs = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    new = pairs.select(F.expr("uuid()").alias("id"), "src", "dst", literals(attrs).alias("attrs"))
+        pairs = pairs.withColumn("_e", F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).select("_e.src", "_e.dst")
+    new = pairs.select(F.lit(None).cast("string").alias("id"), "src", "dst", literals(attrs).alias("attrs"))
     return replace(g, edges=g.edges.unionByName(_numbered(new, g.edges, EDGE)))

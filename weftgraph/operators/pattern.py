@@ -1,18 +1,20 @@
 """Patterns: edges between vertex sets, paths, stars and any-edge hops, as chains of semi-joins.
 
 A vertex set is always the left side of a semi-join, and its keys are unique, so hops need no distinct. Edge sets whose
-endpoint types do not fit are not read at all.
+endpoint types do not fit are not read at all. Where several types are met between two hops, their keys are written there: else
+every target's plan would hold the plans of all sources again, hop by hop.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import compares
 from ..model import EdgeSet, GraphView, VertexPattern, VertexSet, union
+from ..plans.scratch import written
 
 
 @dataclass(frozen=True)
@@ -57,15 +59,22 @@ def _ids(g: GraphView, sets: list[VertexSet]) -> DataFrame:
 def match_path(g: GraphView, start: VertexPattern, hops: list[Hop]) -> DataFrame:
     """(id) of the vertices at the end of a path: start, then hop by hop. Each vertex comes once."""
     sets = g.matching(start)
-    for hop in hops:
+    for i, hop in enumerate(hops):
         sets = _reached(g, sets, hop.label, g.matching(hop.to))
+        if i + 1 < len(hops):
+            sets = _held(sets)
     return _ids(g, sets)
 
 
+def _held(sets: list[VertexSet]) -> list[VertexSet]:
+    """The same keys; written if there are several sets, or one of many types, so that each is worked out once and plans stay short."""
+    return [replace(v, frame=written(v.frame.select("k"))) for v in sets] if len(sets) > 1 or any(v.type is None for v in sets) else sets
+
+
 def match_star(g: GraphView, subject: VertexPattern, hops: list[Hop]) -> DataFrame:
     """(id) of the subjects from which every hop, each taken from the subject itself, finds a vertex."""
     sets = g.matching(subject)
-    for hop in hops:
+    for i, hop in enumerate(hops):
         kept = []
         ends = g.matching(hop.to)
         for v in sets:
@@ -77,7 +86,7 @@ def match_star(g: GraphView, subject: VertexPattern, hops: list[Hop]) -> DataFra
             ]
             if starts:
                 kept.append(VertexSet(v.type, v.frame.join(union(starts), F.col("k") == F.col("s"), "left_semi"), v.access, v.id))
-        sets = kept
+        sets = _held(kept) if i + 1 < len(hops) else kept
     return _ids(g, sets)
 
 
@@ -96,7 +105,7 @@ def match_chain(g: GraphView, subject: VertexPattern, hops: list[Hop]) -> DataFr
             ]
             if starts:
                 back.append(VertexSet(v.type, v.frame.join(union(starts), F.col("k") == F.col("s"), "left_semi"), v.access, v.id))
-        sets = back
+        sets = _held(back) if i else back
     return _ids(g, sets)
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import EXISTS, MapAccess
 from ..model import GraphView, PropertyGraph, VertexPattern, union
+from ..plans.scratch import written
 
 Where = Callable[[MapAccess], Column] | Column | None
 
@@ -111,8 +112,8 @@ def degrees(g: GraphView, type: str | None = None, labels: list[str] | None = No
 def type_counts(g: GraphView) -> DataFrame:
     """(type_name, n) of the vertices of each type."""
     if isinstance(g, PropertyGraph):
-        named = g.vertices.join(F.broadcast(g.types.select(F.col("id").alias("type_id"), F.col("name").alias("type_name"))), "type_id", "left")
-        return named.groupBy("type_name").agg(F.count("*").alias("n"))
+        named = g.vertices.groupBy("type_id").agg(F.count("*").alias("n")).join(g.types.select(F.col("id").alias("type_id"), F.col("name").alias("type_name")), "type_id", "left")
+        return named.groupBy("type_name").agg(F.sum("n").alias("n"))
     return union([v.frame.agg(F.count("*").alias("n")).select(F.lit(v.type).alias("type_name"), "n") for v in g.vertex_sets()])
 
 
@@ -126,8 +127,22 @@ def select_matching(g: GraphView, pattern: VertexPattern, where: Callable | None
 
 
 def ranked(frame: DataFrame, access, key: str, tie: str) -> DataFrame:
-    """frame with rk: the place in ascending order of an attribute, nulls first. For the sorted order as a column."""
-    return frame.withColumn("rk", F.row_number().over(Window.orderBy(*access.order(key), tie)).cast("long"))
+    """frame with rk: the place in ascending order of an attribute, nulls first. For the sorted order as a column.
+
+    Rows are dealt to tasks by ranges of the order and sorted there; the places before a range are the sizes of the ranges
+    before it, of which the driver holds one number for each task.
+    """
+    order = [*access.order(key), tie]
+    ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(ranged)
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before, total = {}, 0
+    for p, n in sorted(map(tuple, ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())):
+        before[p] = total
+        total += n
+    starts = frame.sparkSession.createDataFrame(sorted(before.items()), "_part bigint, _start bigint")
+    placed = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row for each task
+    return placed.withColumn("rk", F.col("_start") + inside + 1).drop("_part", "_start", "_at")
 
 
 def _text(value: Column) -> Column:
@@ -142,7 +157,7 @@ def attributes_as_text(attrs: Column) -> Column:
 def vertices_as_text(g: PropertyGraph) -> DataFrame:
     """(id, text): the attributes, the type's name and the degrees of every vertex."""
     names = g.types.select(F.col("id").alias("type_id"), F.col("name").alias("type_name"))
-    full = g.vertices.join(F.broadcast(names), "type_id", "left").join(degrees(g), "id")
+    full = g.vertices.join(names, "type_id", "left").join(degrees(g), "id")
     text = F.concat(attributes_as_text(F.col("attrs")), F.concat(F.lit("Type : "), F.coalesce("type_name", F.lit("")), F.lit(" \nInDegree : "), "in_degree", F.lit(" \nOutDegree : "), "out_degree", F.lit(" \n")))
     return full.select("id", text.alias("text"))
 

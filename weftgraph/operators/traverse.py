@@ -1,12 +1,14 @@
 """Breadth-first search and weighted range search, as loops of joins over written frontiers.
 
 Each level is one join of the frontier with the edges and one anti-join with what has been seen; levels are written, so
-plans stay short and lost executors cost one level. The driver sees only whether a level is empty, and the vertices of the
-one path it returns.
+plans stay short and lost executors cost one level. A frontier that is counted to be small is broadcast, so that the edges are
+scanned where they lie; a larger one meets them by a shuffle. The driver sees of a level its size and whether it holds the
+target, and the vertices of the one path it returns.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import EXISTS, MapAccess
 from ..model import PropertyGraph, union
-from ..plans.scratch import written
+from ..plans.scratch import forget, written
+
+#: Rows of a frontier (ids and a number, some tens of bytes each) up to which it is broadcast.
+FRONTIER_ROWS = 200_000
+BACK_STEPS = 8
 
 
 class GraphAlgorithm(Protocol):
@@ -23,47 +29,88 @@ class GraphAlgorithm(Protocol):
     def run(self, graph: PropertyGraph) -> DataFrame: ...
 
 
-def bfs_levels(edges: DataFrame, source: str, *, target: str | None = None, allowed: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
-    """(v, h, pred) of the vertices that edges (src, dst) reach from source, with the fewest hops.
+@dataclass(frozen=True)
+class BreadthFirst:
+    """bfs_levels() as an algorithm: (v, h, pred) from source over all edges of a graph."""
 
-    pred is the smallest predecessor on the level before. Stops at the target's level. allowed: (id) of the vertices that
-    a path may pass through; source and target need not be among them.
-    """
+    source: str
+    max_hops: int | None = None
+
+    def run(self, graph: PropertyGraph) -> DataFrame:
+        return bfs_levels(graph.edges, self.source, max_hops=self.max_hops)
+
+
+@dataclass(frozen=True)
+class Nearby:
+    """search_nearby() as an algorithm."""
+
+    source: str
+    within: float
+    key: str
+
+    def run(self, graph: PropertyGraph) -> DataFrame:
+        return search_nearby(graph, self.source, self.within, self.key)
+
+
+def run(algorithm: GraphAlgorithm, graph: PropertyGraph) -> DataFrame:
+    """Runs an algorithm of this module or of the caller's."""
+    return algorithm.run(graph)
+
+
+def _few(frame: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(frame) if rows <= FRONTIER_ROWS else frame
+
+
+def _levels(edges: DataFrame, source: str, target: str | None, allowed: DataFrame | None, max_hops: int | None) -> tuple[list[DataFrame], bool]:
+    """The levels (v, h, pred), and whether the last one holds the target."""
     spark = edges.sparkSession
-    steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
     if allowed is not None:
         free = allowed.select(F.col("id").alias("dst"))
         kept = steps.join(free, "dst", "left_semi").select("src", "dst")
-        steps = kept.unionByName(steps.where(F.col("dst") == target)).distinct() if target is not None else kept
+        steps = kept.unionByName(steps.where(F.col("dst") == target)) if target is not None else kept
     steps = written(steps)
-    level = spark.createDataFrame([(source, 0, None)], "v string, h int, pred string")
-    levels = [written(level)]
-    seen = levels[0]
-    h = 0
-    while (max_hops is None or h < max_hops) and not (target is not None and not levels[-1].where(F.col("v") == target).isEmpty()):
-        h += 1
-        step = levels[-1].select(F.col("v").alias("src")).join(steps, "src").join(seen.select(F.col("v").alias("dst")), "dst", "left_anti")
-        level = written(step.groupBy("dst").agg(F.min("src").alias("pred")).select(F.col("dst").alias("v"), F.lit(h).alias("h"), "pred"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-        # Many levels make many small tables; fold them now and then.
-        seen = written(union(levels)) if h % 16 == 0 else union(levels)
-    return seen
+    levels = [written(spark.createDataFrame([(source, 0, None)], "v string, h int, pred string"))]
+    seen, n_seen, size, found = levels[0], 1, 1, source == target
+    while size and not found and (max_hops is None or len(levels) <= max_hops):
+        front = _few(levels[-1].select(F.col("v").alias("src")), size)
+        step = steps.join(front, "src").groupBy("dst").agg(F.min("src").alias("pred"))
+        new = step.join(_few(seen.select(F.col("v").alias("dst")), n_seen), "dst", "left_anti")
+        level = written(new.select(F.col("dst").alias("v"), F.lit(len(levels)).alias("h"), "pred"))
+        size, found = level.agg(F.count("*"), F.coalesce(F.max(F.col("v") == target), F.lit(False)) if target is not None else F.lit(False)).first()
+        if size:
+            levels.append(level)
+            n_seen += size
+            # Many levels make many small tables; fold them now and then.
+            seen = written(union(levels)) if len(levels) % 16 == 0 else seen.unionByName(level)
+    forget(steps)
+    return levels, found
+
+
+def bfs_levels(edges: DataFrame, source: str, *, target: str | None = None, allowed: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
+    """(v, h, pred) of the vertices that edges (src, dst) reach from source, with the fewest hops.
+
+    pred is the smallest predecessor on the level before. Stops at the target's level. allowed: (id) of the vertices that
+    a path may pass through; source and target need not be among them. Parallel edges count once.
+    """
+    return union(_levels(edges, source, target, allowed, max_hops)[0])
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, *, allowed: DataFrame | None = None, max_hops: int | None = None, forward: bool = True) -> DataFrame:
     """(step, vertex_id) of a shortest path, from source to target, or from target to source; no rows if there is none."""
     spark = edges.sparkSession
+    levels, found = _levels(edges, source, target, allowed, max_hops)
+    if not found:
+        return spark.createDataFrame([], "step int, vertex_id string")
     path = [target]
-    if source != target:
-        levels = bfs_levels(edges, source, target=target, allowed=allowed, max_hops=max_hops)
-        row = levels.where(F.col("v") == target).first()
-        if row is None:
-            return spark.createDataFrame([], "step int, vertex_id string")
-        while row.pred is not None:
-            path.append(row.pred)
-            row = levels.where((F.col("h") == row.h - 1) & (F.col("v") == row.pred)).first()
+    while len(path) < len(levels):
+        # Some steps back in one query: each level gives the predecessor that the level after it names.
+        at = len(levels) - len(path)
+        back = levels[at].where(F.col("v") == path[-1]).select(F.col("pred").alias("p0"))
+        n = min(BACK_STEPS, at)
+        for i in range(1, n):
+            back = back.join(levels[at - i].select(F.col("v").alias("v_"), F.col("pred").alias(f"p{i}")), F.col(f"p{i - 1}") == F.col("v_")).drop("v_")
+        path += list(back.first())
     path = path[::-1] if forward else path
     return spark.createDataFrame(list(enumerate(path)), "step int, vertex_id string")
 
@@ -87,21 +134,29 @@ def nearby(edges: DataFrame, source: str, within: float) -> DataFrame:
     comes out only through a cycle.
     """
     spark = edges.sparkSession
-    steps = edges.select("src", "dst", F.coalesce(F.col("w").cast("double"), F.lit(1.0)).alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
-    steps = written(steps)
-    if not steps.where("w < 0").isEmpty():
+    steps = edges.select("src", "dst", F.coalesce(F.col("w").cast("double"), F.lit(1.0)).alias("w"))
+    if (steps.agg(F.min("w")).first()[0] or 0) < 0:
         raise ValueError("weights must not be negative")
-    steps = steps.where(F.col("w") <= within)
-    known = spark.createDataFrame([], "v string, dist double")
-    frontier = spark.createDataFrame([(source, 0.0)], "v string, dist double")
-    while True:
-        found = frontier.select(F.col("v").alias("src"), "dist").join(steps, "src").select(F.col("dst").alias("v"), (F.col("dist") + F.col("w")).alias("dist"))
+    steps = written(steps.where(F.col("w") <= within))
+    rounds: list[DataFrame] = []  # (v, dist): each round's betterings; a later one of a vertex is smaller
+    known, n_known = spark.createDataFrame([], "v string, dist double"), 0
+    frontier, size = spark.createDataFrame([(source, 0.0)], "v string, dist double"), 1
+    while size:
+        front = _few(frontier.select(F.col("v").alias("src"), "dist"), size)
+        found = steps.join(front, "src").select(F.col("dst").alias("v"), (F.col("dist") + F.col("w")).alias("dist"))
         found = found.where(F.col("dist") <= within).groupBy("v").agg(F.min("dist").alias("dist"))
-        better = found.join(known.withColumnRenamed("dist", "was"), "v", "left").where("was IS NULL OR dist < was").select("v", "dist")
-        frontier = written(better)
-        if frontier.isEmpty():
-            return known.select(F.col("v").alias("vertex_id"), F.col("dist").alias("distance"))
-        known = written(known.join(frontier, "v", "left_anti").unionByName(frontier))
+        was = _few(known.select("v", F.col("dist").alias("was")), n_known)
+        frontier = written(found.join(was, "v", "left").where("was IS NULL OR dist < was").select("v", "dist"))
+        size = frontier.count()
+        if size:
+            rounds.append(frontier)
+            known = union(rounds).groupBy("v").agg(F.min("dist").alias("dist"))
+            n_known += size
+            if len(rounds) % 8 == 0:
+                rounds = [written(known)]
+                known = rounds[0]
+    forget(steps)
+    return known.select(F.col("v").alias("vertex_id"), F.col("dist").alias("distance"))
 
 
 def search_nearby(g: PropertyGraph, source: str, within: float, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -12,30 +13,52 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a local folder if Spark runs in one process, else an error: executors on other
+    machines would not find the driver's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), f"weftgraph-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a Parquet table, read again."""
     spark = df.sparkSession
-    path = f"{root(spark)}/weftgraph-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that no later result reads."""
+    for df in tables:
+        if path := getattr(df, "_weft_path", None):
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system, its path) of a path."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
 
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
         try:
-            sc = spark.sparkContext
-            if sc._jsc is not None:
-                p = sc._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
         except Exception:  # the session has ended; the folder is the cluster's to clear
             return

@@ -8,27 +8,69 @@ task holds all members; they are one type again when read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import ATTR, ATTRS
 from ..model import EDGE, TYPE, VERTEX, PropertyGraph
+from ..plans.scratch import delete, file_system, written
 
 # Suffixes of the text form's files, and the characters that are escaped, in order of escaping.
 VERTEX_FILE, TYPE_FILE, EDGE_FILE, MANIFEST = "_Vertex.gdbt", "_Type.gdbt", "_Edge.gdbt", ".gdbf"
+POINTER = "CURRENT"
 ESCAPED = (("%", "%25"), (" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
 MEMBERS_PER_RECORD = 100_000
 
 
 def save(g: PropertyGraph, path: str, mode: str = "error") -> None:
-    """Writes the three tables as Parquet; vertices by type, so that typed scans read only their part."""
-    g.vertices.write.mode(mode).partitionBy("type_id").parquet(f"{path}/vertices")
-    g.edges.write.mode(mode).parquet(f"{path}/edges")
-    g.types.write.mode(mode).parquet(f"{path}/types")
+    """Writes the three tables as Parquet under a new version folder, vertices by type so that typed scans read only their part.
+
+    A pointer file then names the version, so a graph may be saved over the path that it was loaded from, readers see the old
+    or the new version whole, and a failed save changes nothing. The version before stays; older ones are deleted.
+    """
+    spark = g.spark
+    now = current_version(spark, path)
+    if now is not None and mode != "overwrite":
+        raise FileExistsError(f"{path} holds a graph; mode='overwrite' saves over it")
+    number = 1 + (int(now.split("-")[1]) if now else 0)
+    version = f"v-{number}-{uuid.uuid4().hex[:8]}"
+    g.vertices.write.partitionBy("type_id").parquet(f"{path}/{version}/vertices")
+    g.edges.write.parquet(f"{path}/{version}/edges")
+    g.types.write.parquet(f"{path}/{version}/types")
+    fs, folder = file_system(spark, path)
+    _, new = file_system(spark, f"{path}/{POINTER}.{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    _, pointer = file_system(spark, f"{path}/{POINTER}")
+    fs.delete(pointer, False)
+    if not fs.rename(new, pointer):
+        raise OSError(f"{path}/{POINTER} could not be moved in place")
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, now):
+            fs.delete(status.getPath(), True)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version folder that the pointer names; None if nothing has been saved there."""
+    fs, pointer = file_system(spark, f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        # A save was cut off between taking the old pointer away and moving the new one in place: the newest one holds.
+        fs, folder = file_system(spark, path)
+        left = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        left = [x.removeprefix(f"{POINTER}.") for x in left if x.startswith(f"{POINTER}.v-")]
+        return max(left, key=lambda v: int(v.split("-")[1]), default=None)
+    return spark.read.text(f"{path}/{POINTER}").first()[0].strip()
 
 
 def load(spark: SparkSession, path: str) -> PropertyGraph:
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path} holds no graph")
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{version}/{name}")
     return PropertyGraph(read("vertices", VERTEX), read("edges", EDGE), read("types", TYPE))
 
 
@@ -66,7 +108,7 @@ def edge_lines(g: PropertyGraph) -> DataFrame:
 
 def type_lines(g: PropertyGraph) -> DataFrame:
     sizes = g.vertices.where("type_id IS NOT NULL").groupBy("type_id").agg(F.count("*").alias("n"))
-    typed = g.vertices.select("id", "type_id").join(F.broadcast(sizes.join(g.types.select(F.col("id").alias("type_id")), "type_id", "left_semi")), "type_id")
+    typed = g.vertices.select("id", "type_id").join(sizes.join(g.types.select(F.col("id").alias("type_id")), "type_id", "left_semi"), "type_id")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS_PER_RECORD))
     members = typed.groupBy("type_id", part.alias("part")).agg(F.array_sort(F.collect_list(_escape(F.col("id")))).alias("members"))
     own = F.array_join(F.transform("attr_order", lambda k: F.concat_ws(" ", _escape(k), _value(F.try_element_at("attrs", k)))), " ")
@@ -77,12 +119,25 @@ def type_lines(g: PropertyGraph) -> DataFrame:
 
 
 def export_text(g: PropertyGraph, path: str) -> None:
-    """Writes <path>_Vertex.gdbt, _Type.gdbt, _Edge.gdbt and the manifest <path>.gdbf, over what is there."""
+    """Writes <path>_Vertex.gdbt, _Type.gdbt, _Edge.gdbt and the manifest <path>.gdbf, over what is there.
+
+    All files are written beside the old ones before any is put in place, so a graph may be exported over the files that it was
+    read from.
+    """
+    spark = g.spark
     spaced = lambda lines: lines.select(F.concat("value", F.lit("\n")).alias("value"))  # noqa: E731  a blank line after each
-    for frame, suffix in ((type_lines(g), TYPE_FILE), (vertex_lines(g), VERTEX_FILE), (edge_lines(g), EDGE_FILE)):
-        spaced(frame).write.mode("overwrite").text(path + suffix)
     names = [path.rsplit("/", 1)[-1] + s for s in (TYPE_FILE, VERTEX_FILE, EDGE_FILE)]
-    g.spark.createDataFrame([("\n".join(names),)], "value string").write.mode("overwrite").text(path + MANIFEST)
+    manifest = spark.createDataFrame([("\n".join(names),)], "value string")
+    fresh = f".new-{uuid.uuid4().hex[:8]}"
+    files = ((spaced(type_lines(g)), TYPE_FILE), (spaced(vertex_lines(g)), VERTEX_FILE), (spaced(edge_lines(g)), EDGE_FILE), (manifest, MANIFEST))
+    for frame, suffix in files:
+        frame.write.text(path + suffix + fresh)
+    for _, suffix in files:
+        fs, new = file_system(spark, path + suffix + fresh)
+        _, place = file_system(spark, path + suffix)
+        delete(spark, path + suffix)
+        if not fs.rename(new, place):
+            raise OSError(f"{path}{suffix} could not be moved in place")
 
 
 def _read_value(v: Column) -> Column:
@@ -115,7 +170,7 @@ def import_text(spark: SparkSession, path: str) -> PropertyGraph:
     token = lambda i: _unescape(F.element_at("t", i + 1))
     seq = F.monotonically_increasing_id()
     attrs, order, after = _read_attributes(2)
-    raw = _records(spark, path + TYPE_FILE).select(token(0).alias("id"), token(1).alias("name"), order.alias("attr_order"), attrs.alias("attrs"), after.alias("after"), "t")
+    raw = written(_records(spark, path + TYPE_FILE).select(token(0).alias("id"), token(1).alias("name"), order.alias("attr_order"), attrs.alias("attrs"), after.alias("after"), "t"))
     count = F.coalesce(F.element_at("t", (F.col("after") + 1).cast("int")).try_cast("int"), F.lit(0))
     members = raw.where(count > 0).select(F.col("id").alias("type_id"), F.explode(F.slice("t", F.col("after") + 2, count)).alias("v")).select("type_id", _unescape(F.col("v")).alias("id")).dropDuplicates(["id"])
     types = raw.dropDuplicates(["id"]).select(seq.alias("seq"), "id", "name", "attr_order", "attrs")

@@ -1,7 +1,8 @@
 """Changes of a graph as an append-only table, and subscribers that follow it as a stream.
 
-A change is a row (version, kind, op, id): op is add, remove or change of a vertex, edge or type. Writers append the
-difference of two graphs under the next version; subscribers get each batch once, from a checkpoint on.
+A change is a row (version, kind, op, id, payload): op is add, remove or change of a vertex, edge or type; payload is the object
+as JSON, as it is after the change or was before its removal. A session writes what each statement changes; for two graphs
+without a session between them the difference can be taken. Subscribers get each batch once, from a checkpoint on.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import PropertyGraph, union
+from ..plans.scratch import file_system
 from ..sources.storage import save
 
-CHANGE = "version bigint, kind string, op string, id string"
+CHANGE = "version bigint, kind string, op string, id string, payload string"
 
 
 def _content(frame: DataFrame):
@@ -31,10 +33,17 @@ def changes(old: PropertyGraph, new: PropertyGraph, version: int) -> DataFrame:
         before = a.select("id", _content(a).alias("was"))
         after = b.select("id", _content(b).alias("now"))
         op = F.when(F.col("was").isNull(), "add").when(F.col("now").isNull(), "remove").when(F.col("was") != F.col("now"), "change")
-        parts.append(before.join(after, "id", "full").select(F.lit(version).cast("bigint").alias("version"), F.lit(kind).alias("kind"), op.alias("op"), "id").where("op IS NOT NULL"))
+        payload = F.coalesce("now", "was").alias("payload")
+        parts.append(before.join(after, "id", "full").select(F.lit(version).cast("bigint").alias("version"), F.lit(kind).alias("kind"), op.alias("op"), "id", payload).where("op IS NOT NULL"))
     return union(parts)
 
 
+def change_rows(spark: SparkSession, parts: list[tuple[str, str, DataFrame]], version: int) -> DataFrame:
+    """Change rows of (kind, op, objects), without comparing graphs."""
+    rows = [f.select(F.lit(version).cast("bigint").alias("version"), F.lit(kind).alias("kind"), F.lit(op).alias("op"), "id", _content(f).alias("payload")) for kind, op, f in parts]
+    return union(rows) if rows else spark.createDataFrame([], CHANGE)
+
+
 class ChangeLog:
     """A change log in a folder that all writers and subscribers reach."""
 
@@ -42,7 +51,15 @@ class ChangeLog:
         self.spark, self.path = spark, path.rstrip("/")
 
     def append(self, old: PropertyGraph, new: PropertyGraph, version: int) -> None:
-        changes(old, new, version).write.mode("append").parquet(f"{self.path}/log")
+        """Appends the difference of two graphs."""
+        self.write(changes(old, new, version))
+
+    def write(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.path}/log")
+
+    def last_version(self) -> int:
+        fs, p = file_system(self.spark, f"{self.path}/log")
+        return (self.read().agg(F.max("version")).first()[0] or 0) if fs.exists(p) else 0
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(CHANGE).parquet(f"{self.path}/log")
@@ -62,10 +79,11 @@ class ChangeLog:
 
 
 def autosave(current: Callable[[], PropertyGraph], path: str) -> Callable[[DataFrame, int], None]:
-    """A subscriber that saves the current graph, under a folder for each batch, whenever something has changed."""
+    """A subscriber that saves the current graph over the one at path whenever something has changed; a Session saves by itself
+    with autosave=True."""
 
     def on_batch(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            save(current(), f"{path}/{number}", mode="overwrite")
+            save(current(), path, mode="overwrite")
 
     return on_batch
