@@ -144,10 +144,11 @@ def test_attributes(g):
     assert mutate.clear_type(g, "t1").vertices.where("type_id is not null").count() == 0
 
 
-def test_product_is_guarded(g):
-    with pytest.raises(ValueError):
-        mutate.connect(g, g.vertices, g.vertices, {"x": 1}, max_pairs=10)
-    assert mutate.connect(g, g.vertices, g.vertices, {"x": 1}).edges.count() == 8 + 64
+def test_product_is_whole_and_its_ids_stay(g):
+    h = mutate.connect(g, g.vertices, g.vertices, {"x": 1})
+    ids_of = lambda: sorted(r.id for r in h.edges.collect())
+    assert h.edges.count() == 8 + 64 and ids_of() == ids_of() and len(set(ids_of())) == 72
+    assert mutate.connect(g, g.vertices, g.vertices, {"x": 1}, both=True).edges.count() == 8 + 128
 
 
 def test_empty_graph(spark):
