@@ -97,6 +97,7 @@ def test_pieces(spark):
     rnd = random.Random(1)
     vocabulary = [library.id_to_piece(i).replace("▁", " ") for i in range(32_000)]
     texts = fuzz(2, 1500) + ["".join(rnd.choice(vocabulary) for _ in range(6)) for _ in range(1500)]
+    texts += ["".join(rnd.choice("abcdeéß中文字한글🙂") for _ in range(n)) for n in (31, 32, 33, 65, 600, 5000)]
     texts += ["<s>", "</s>", "<unk>", "a" * 3000, " " * 300 + "x", "    " * 3 + "a", "", " ", "x▁▁y", "\n\n\n   \n"]
     rows = ODD + [(1000 + i, t) for i, t in enumerate(texts)]
     got = pieces.decode(pieces.encode(docs(spark, rows).selectExpr("*", "1 as pieces"), path), path)
@@ -203,6 +204,43 @@ def test_letters_that_lower_makes_longer_move_no_end_tag(n):
     assert [b.text for b in blocks(page)] == ["\u0130" * n, "some words here", "more"]
 
 
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ("<p>The value is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> exactly so.</p><p>And on.</p>", "The value is x=2 exactly so.\nAnd on."),
+        ("<p>A film: <object data=x><param name=a>no player here</object> was shown.</p><p>And on.</p>", "A film: no player here was shown.\nAnd on."),
+        ("<p>Type this text:</p><xmp>a <b> &amp; c</xmp><p>And on with it.</p>", "Type this text:\na <b> &amp; c\nAnd on with it."),
+        ("<p>One choice <select><option>red<option>blue</p><p>The text goes on here.</p><p>And here.</p>", "One choice\nThe text goes on here.\nAnd here."),
+        ("<p>Math <math><mi>y</p><p>never ends here.</p><p>And on.</p>", "Math y\nnever ends here.\nAnd on."),
+        ("<p>An <b>open <i>crossed</b> end</i> of tags.</p><p>And on.</p>", "An open crossed end of tags.\nAnd on."),
+    ],
+)
+def test_text_inside_of_special_elements(inside, text):
+    assert extraction.main_text(PAGE.format(f"<article>{inside}</article>"), extraction.model()) == text
+
+
+@pytest.mark.parametrize("open_tags", ["<ul><li>", "<div>x ", "<div class=c{i}>y ", "<b><i></b>", "<p><b>", "<select>", "<a <b"])
+def test_deep_pages_take_time_in_proportion(open_tags):
+    import time
+
+    from weftgraph.llm.dom import blocks
+
+    page = "".join(open_tags.replace("{i}", str(i)) for i in range(1_000_000 // len(open_tags)))
+    began = time.process_time()
+    crf = extraction.model()
+    began = time.process_time()
+    crf.decode(extraction.features(blocks(page, crf.names)))
+    assert time.process_time() - began < 30
+
+
+def test_whole_texts_of_held_out_pages():
+    crf = extraction.model()
+    pages = labelledpages.labelled_pages(200, seed=123)
+    whole = [(page, marked) for page, marked in pages if len(extraction.blocks(page)) == len(marked)]
+    right = sum(extraction.main_text(page, crf) == "\n".join(t for t, label in marked if label) for page, marked in whole)
+    assert len(whole) > 150 and right / len(whole) > 0.8
+
+
 def test_extraction_on_held_out_pages():
     crf = extraction.model()
     right = total = 0
@@ -231,19 +269,3 @@ def test_viterbi_finds_the_likeliest_labels():
         seq = [[f"f{rnd.randrange(8)}" for _ in range(3)] for _ in range(rnd.randint(1, 7))]
         score = lambda ys: crf.start[ys[0]] + sum(crf.weights.get(f, 0) for fs, y in zip(seq, ys, strict=True) if y for f in fs) + sum(crf.step[a][b] for a, b in zip(ys, ys[1:], strict=False))  # noqa: B023, E731
         assert score(crf.decode(seq)) == pytest.approx(max(map(score, product((0, 1), repeat=len(seq)))))
-
-
-def test_pipeline(spark, data):
-    import corpus_pipeline as C
-
-    from weftgraph.llm.common import written
-
-    frame = spark.read.parquet(f"{data}/documents.parquet")
-    columns, seen = frame.columns, []
-    for name, stage in C.STAGES[:-1]:
-        frame = written(stage(spark, frame, data), "test")
-        assert frame.columns == columns and frame.where("n_chars <> char_length(text)").count() == 0, name
-        seen.append(frame.agg(F.count("*"), F.countDistinct("doc_id")).first())
-    assert seen[0][0] == seen[1][0] >= seen[2][0] == seen[2][1]
-    last = C.STAGES[-1][1](spark, frame, data)
-    assert last.count() == seen[3][0] and last.where("n_pieces <> size(pieces) or doc_id is null").count() == 0

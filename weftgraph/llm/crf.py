@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -16,6 +17,11 @@ class Crf:
     step: tuple[tuple[float, float], tuple[float, float]]
     start: tuple[float, float]
 
+    @functools.cached_property
+    def names(self) -> frozenset[str]:
+        """The class names that have a weight; others need not be looked for."""
+        return frozenset(f[5:] for f in self.weights if f.startswith("name:"))
+
     def decode(self, sequence: list[list[str]]) -> list[int]:
         """The likeliest labels, by Viterbi; features that training has not seen count nothing."""
         if not sequence:

@@ -41,7 +41,7 @@ def model(training: int = TRAINING, seed: int = SEED) -> Crf:
 
 def main_text(page: str | None, crf: Crf) -> str:
     """The article's blocks, each with single spaces, joined by line feeds."""
-    found = blocks(page)
+    found = blocks(page, crf.names)
     return "\n".join(b.text for b, label in zip(found, crf.decode(features(found)), strict=True) if label)
 
 
