@@ -147,6 +147,48 @@ def test_ledger_scans_only_what_is_unseen(spark):
     assert secrets.scan(docs(spark, []))[0].count() == 0
 
 
+def test_ledger_is_kept(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"{tmp_path}/ledger")
+    texts = len({r[1] for r in SECRETS})
+    assert ledger.scan(docs(spark, SECRETS)).count() == len(SECRETS) and ledger.read().count() == texts
+    again = secrets.Ledger(spark, f"{tmp_path}/ledger")
+    new = [*SECRETS, (99, "token = abcdefghijklm"), (98, SECRETS[0][1])]
+    got = secrets.digest(again.scan(docs(spark, new)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, secrets.digest(secrets.scan(docs(spark, new))[0]).collect()))
+    assert again.read().count() == texts + 1
+    again.scan(docs(spark, new), version="2")
+    assert again.read().where("rules = '2'").count() == texts + 1 and again.read().count() == 2 * (texts + 1)
+
+
+def test_slot_maps_are_kept_and_edited(spark, tmp_path):
+    maps = sharding.SlotMaps(spark, f"{tmp_path}/maps")
+    rows = [(i, "word " * (i % 50), "s") for i in range(3000)]
+    key = lambda r: (r.doc_id, r.size, r.text_crc32)
+    one = {key(r): r for r in sharding.shard(docs(spark, rows), maps=maps).collect()}
+    more = rows + [(10_000 + i, "more words " * (i % 30), "s") for i in range(600)]
+    two = {key(r): r for r in sharding.shard(docs(spark, more), maps=maps).collect()}
+    three = {key(r): r for r in sharding.shard(docs(spark, more), shards=17, maps=maps).collect()}
+    assert maps.versions() == [1, 2, 3] and {r.version for r in three.values()} == {3} and maps.latest().count() == sharding.SLOTS
+    assert all(one[k].vslot == two[k].vslot == three[k].vslot for k in one)
+    moved = sum(one[k].shard != two[k].shard for k in one)
+    grown = sum(two[k].shard != three[k].shard for k in two)
+    assert moved < 0.3 * len(one) and grown < 0.2 * len(two) and {r.shard for r in three.values()} == set(range(17))
+    with pytest.raises(FileExistsError):
+        maps.append(maps.read(2))
+
+
+def test_rows_of_one_id_and_equal_rows_are_spread(spark):
+    rows = [(7, f"text {i}", "s") for i in range(400)] + [(None, f"text {i}", "s") for i in range(400)] + [(8, "same", "s")] * 400
+    got = sharding.shard(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(r[1]) + 1) for r in rows)
+    for doc_id in (7, None, 8):
+        assert len({r.shard for r in got if r.doc_id == doc_id}) == 16
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) < 1.1 * min(load.values())
+
+
 def test_secret_sql(spark, data):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{data}/documents.parquet'")

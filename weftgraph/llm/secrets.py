@@ -1,8 +1,8 @@
 """Secret scans through an incremental blob ledger.
 
 Every version of a text is a blob, addressed by the SHA-256 of its bytes. The ledger holds, for each blob and version of the
-rules, the spans found. A scan looks at pairs of blob and rule version that the ledger lacks, each once however many paths
-hold it, and findings are joined back to all paths. DataFrame and SQL functions only.
+rules, the spans found; Ledger keeps it in a folder. A scan looks at pairs of blob and rule version that the ledger lacks, each
+once however many paths hold it, and findings are joined back to all paths. DataFrame and SQL functions only.
 
 Null texts are empty blobs, which have no findings. Repeated rows and copies share a blob. An empty table gives an empty
 result. Other columns of the input are ignored. Positions are code points, ends exclusive.
@@ -10,9 +10,10 @@ result. Other columns of the input are ignored. Positions are code points, ends
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import file_system
 from .common import written
 
 # The base rules as (kind, pattern, group that is measured, least length of it).
@@ -63,6 +64,28 @@ def empty_ledger(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], f"blob string, rules string, spans {NO_SPANS}")
 
 
+class Ledger:
+    """The ledger as an append-only table in a folder, by version of the rules. A scan that is run again adds nothing twice."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self) -> DataFrame:
+        schema = f"blob string, spans {NO_SPANS}, rules string"
+        fs, p = file_system(self.spark, self.path)
+        found = self.spark.read.schema(schema).parquet(self.path) if fs.exists(p) else self.spark.createDataFrame([], schema)
+        return found.select("blob", "rules", "spans")
+
+    def append(self, entries: DataFrame) -> None:
+        entries.write.mode("append").partitionBy("rules").parquet(self.path)
+
+    def scan(self, docs: DataFrame, rules: tuple | None = None, version: str | None = None) -> DataFrame:
+        """The findings of docs; what had to be scanned for them is in the ledger afterwards."""
+        findings, entries = scan(docs, self.read(), rules or BASE + MORE, version or RULES_VERSION)
+        self.append(entries)
+        return findings
+
+
 def blobs_of(docs: DataFrame) -> DataFrame:
     """(doc_id, blob): the content address of every path's text."""
     return docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))

@@ -3,10 +3,12 @@
 Records hash into a fixed number of virtual slots; a versioned table maps slots to shards. Version 0 deals the slots out in
 turn. rebalanced() adds up the bytes of each slot and edits the map: a slot keeps its shard while that stays below the mean,
 others move to the lightest shard, largest first. Only the map changes when data grow or shards are added; the record-to-slot
-hash never does. All steps are DataFrame or SQL functions; the only single-task step handles one row for each virtual slot.
+hash never does. SlotMaps keeps the versions in a folder, so that the next run edits the last map instead of starting anew.
+All steps are DataFrame or SQL functions; the only single-task step handles one row for each virtual slot.
 
-Null texts count as empty. Null ids are spread by checksum and size. Repeated rows are placed each for itself. An empty
-table gives an empty result. Other columns of the input are ignored.
+Null texts count as empty. Rows are hashed by id, size and checksum, so rows of one id, null or not, are spread; rows that are
+equal in all three are counted first, numbered and spread by their number, each placed for itself. An empty table gives an
+empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import file_system
 from .common import cell_bits, spread, written
 
 SLOTS = 4096
+RUN = 1 << 16
+MAP = "version int, vslot int, shard int"
 
 
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -59,20 +64,65 @@ def rebalanced(slot_map: DataFrame, slot_bytes: DataFrame, shards: int) -> DataF
     return edited.select("version", F.inline("m"))
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, slot_map: DataFrame | None = None, rows_per_cell: int = 50_000) -> DataFrame:
-    """One row for each document: doc_id, size, text_crc32, vslot, version, shard, slot (its place in the shard, gapless from 0)."""
+class SlotMaps:
+    """The versions of a slot-to-shard map, as tables in a folder; a version is written once and never changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> list[int]:
+        fs, p = file_system(self.spark, self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        done = [n for n in names if n.startswith("version=") and fs.exists(file_system(self.spark, f"{self.path}/{n}/_SUCCESS")[1])]
+        return sorted(int(n.split("=")[1]) for n in done)
+
+    def latest(self) -> DataFrame | None:
+        """(version, vslot, shard) of the last version; None if there is none."""
+        found = self.versions()
+        return self.read(found[-1]) if found else None
+
+    def read(self, version: int) -> DataFrame:
+        return self.spark.read.schema(MAP).parquet(f"{self.path}/version={version}")
+
+    def append(self, slot_map: DataFrame) -> DataFrame:
+        """Writes a map under its version, of which there must be none, and gives it back as read."""
+        version = slot_map.agg(F.max("version")).first()[0]
+        if version is not None and version not in self.versions():
+            slot_map.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        elif version is not None:
+            raise FileExistsError(f"{self.path} has a version {version}")
+        return self.read(version) if version is not None else slot_map
+
+
+def _counted(narrow: DataFrame) -> DataFrame:
+    """A row for each row of narrow, with its number among equal rows; equal rows are counted, not gathered."""
+    counts = narrow.groupBy(*narrow.columns).agg(F.count("*").alias("n"))
+    runs = counts.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    return runs.withColumn("number", F.explode(F.sequence("run", F.least(F.col("run") + RUN, F.col("n")) - 1))).drop("n", "run")
+
+
+def placed(docs: DataFrame, shards: int = 16, slots: int = SLOTS, slot_map: DataFrame | None = None, rows_per_cell: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(rows, edited map). Rows: doc_id, size, text_crc32, vslot, version, shard, slot (its place in the shard, gapless from 0),
+    one for each document. The map is the given one, or version 0, after one edit for these documents' bytes."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    by = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("/", "text_crc32", "size"))
-    rows = written(narrow.select("*", spread(by).alias("key")), "shard")
+    rows = written(_counted(narrow).select("*", spread(F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.col("number")).alias("key")), "shard")
     bits = cell_bits(rows.count() // slots, rows_per_cell)
     rows = rows.withColumn("vslot", F.pmod("key", F.lit(slots)).cast("int")).withColumn("cell", F.shiftright("key", 60 - bits))
     cells = rows.groupBy("vslot", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     slot_bytes = cells.groupBy("vslot").agg(F.sum("bytes").alias("bytes"))
-    edited = rebalanced(slot_map if slot_map is not None else first_map(spark, shards, slots), slot_bytes, shards)
+    edited = written(rebalanced(slot_map if slot_map is not None else first_map(spark, shards, slots), slot_bytes, shards), "map")
     before = Window.partitionBy("shard").orderBy("vslot", "cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.join(edited, "vslot").select("vslot", "cell", "version", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("vslot", "cell").orderBy("key", "doc_id", "size", "text_crc32")
-    placed = rows.withColumn("inside", F.row_number().over(inside) - 1).join(offsets, ["vslot", "cell"])
-    return placed.select("doc_id", "size", "text_crc32", "vslot", "version", "shard", (F.col("offset") + F.col("inside")).alias("slot"))
+    out = rows.withColumn("inside", F.row_number().over(inside) - 1).join(offsets, ["vslot", "cell"])
+    return out.select("doc_id", "size", "text_crc32", "vslot", "version", "shard", (F.col("offset") + F.col("inside")).alias("slot")), edited
+
+
+def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, maps: SlotMaps | None = None, rows_per_cell: int = 50_000) -> DataFrame:
+    """placed()'s rows. maps: where the last map is read from and the edited one is kept."""
+    rows, edited = placed(docs, shards, slots, maps.latest() if maps else None, rows_per_cell)
+    if maps:
+        maps.append(edited)
+    return rows
