@@ -29,18 +29,40 @@ def lines_by_hand(rows, min_chars=40, min_docs=5):
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 10, 1 << 20])
-def test_line_dedup(spark, bits):
-    got = linededup.dedup_lines(docs(spark, ODD), filter_bits=bits)
+@pytest.mark.parametrize(("block_lines", "block_bits", "max_blocks"), [(1, 3, 256), (1 << 17, 20, 256), (3, 6, 0), (1 << 17, 20, 0)])
+def test_line_dedup(spark, block_lines, block_bits, max_blocks):
+    got = linededup.dedup_lines(docs(spark, ODD), block_lines=block_lines, block_bits=block_bits, max_blocks=max_blocks)
     assert Counter(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "text").collect())) == lines_by_hand(ODD)
 
 
-def test_line_dedup_keeps_other_columns(spark):
+@pytest.mark.parametrize("max_blocks", [0, 256])
+def test_line_dedup_keeps_other_columns(spark, max_blocks):
     frame = docs(spark, ODD).selectExpr("*", "source as `key`", "1 as n_lines", "2 as pos", "'x' as gone")
-    got = linededup.dedup_lines(frame, filter_bits=1 << 12)
+    got = linededup.dedup_lines(frame, max_blocks=max_blocks)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "pos", "gone", "n_lines", "n_dropped"]
     assert got.where("pos = 2 and gone = 'x' and key <=> source").count() == len(ODD)
-    assert linededup.dedup_lines(frame.where("false"), filter_bits=1 << 12).count() == 0
+    assert linededup.dedup_lines(frame.where("false"), max_blocks=max_blocks).count() == 0
+
+
+def test_lines_of_random_texts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from weftgraph.llm import textscan
+
+    rnd = random.Random(11)
+    texts = [None if rnd.random() < 0.1 else "".join(rnd.choice("ab é🙂 \n\t\r") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    monkeypatch.setattr(linededup, "SLICE_BYTES", 100)
+    monkeypatch.setattr(textscan, "WINDOW", 64)
+    seen, want = {}, {(i, k, x.strip(BLANKS)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(x.strip(BLANKS)) >= 2}
+    got = set()
+    for row, place, starts, ends, hashes, data in linededup._long_lines(pa.array(texts), 2):
+        for r, p, a, b, h in zip(row, place, starts, ends, hashes, strict=True):
+            line = data[a:b].tobytes().decode()
+            got.add((int(r), int(p), line))
+            assert seen.setdefault(line, int(h)) == int(h)
+    assert got == want and len(set(seen.values())) == len(seen)
+    assert np.all(np.diff(np.fromiter((r for r, _, _ in sorted(got)), int)) >= 0)
 
 
 def components_by_hand(rows, num=75, den=100):
@@ -82,10 +104,10 @@ def near_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "heavy"), [(0, 0), (1, 1 << 14)])
-def test_jaccard_join(spark, seed, heavy):
+@pytest.mark.parametrize(("seed", "heavy", "cell"), [(0, -100, 60), (1, 1 << 14, 1 << 18)])
+def test_jaccard_join(spark, seed, heavy, cell):
     rows = near_rows(seed) + ([(r[0] if r[0] is None else r[0] + 1000, *r[1:]) for r in ODD] if seed else [])
-    got = nearjoin.jaccard_components(docs(spark, rows), heavy=heavy, sketch_bits=10)
+    got = nearjoin.jaccard_components(docs(spark, rows), heavy=heavy, sketch_bits=10, cell=cell)
     assert Counter(map(tuple, got.collect())) == components_by_hand(rows)
 
 
@@ -103,7 +125,7 @@ def test_one_of_each_keeps_each_text_under_null_and_repeated_ids(spark):
     assert Counter(kept) == Counter([rows[0], rows[1], rows[4], rows[5], rows[7], rows[8], rows[9]])
 
 
-def test_divide_skip_against_sets():
+def test_divide_skip_against_sets(monkeypatch):
     import numpy as np
 
     rnd = random.Random(5)
@@ -111,7 +133,46 @@ def test_divide_skip_against_sets():
         query = np.array(sorted(rnd.sample(range(80), rnd.randint(1, 40))), np.uint64)
         cands = [np.array(sorted(rnd.sample(query.tolist() + list(range(80, 100)), rnd.randint(1, len(query)))), np.uint64) for _ in range(12)]
         want = [i for i, c in enumerate(cands) if 100 * len({*query.tolist()} & {*c.tolist()}) >= 75 * len({*query.tolist()} | {*c.tolist()})]
-        assert sorted(nearjoin.divide_skip(query, cands, 75, 100)) == want
+        for limit in (0, 2048):
+            monkeypatch.setattr(nearjoin, "HEAP_LIMIT", limit)
+            assert nearjoin.divide_skip(query, nearjoin.Lists(cands), np.ones(len(cands), bool), 75, 100) == want
+
+
+@pytest.mark.parametrize(("chunk", "most"), [(1, 1), (7, 3), (1 << 16, 1 << 20)])
+def test_open_lists_leave_out_nobody_with_a_partner(chunk, most):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    rows = sorted((rnd.randrange(30), i, n := rnd.randint(4, 40), rnd.randrange(n), rnd.randrange(5)) for i in range(300))
+    may = lambda x, y: x[0] == y[0] and x[4] != y[4] and 4 * min(x[2], y[2]) >= 3 * max(x[2], y[2]) and 7 * min(x[2] - x[3], y[2] - y[3]) >= 3 * (x[2] + y[2])
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows[at : at + 11], strict=True)], ["token", "id", "n", "pos", "comp"]) for at in range(0, 300, 11)]
+    got = {(h, i): (n, c) for b in nearjoin._open_lists(75, 100, chunk, most)(iter(batches)) for h, i, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True)}
+    want = {(x[1], y[1]) for x in rows for y in rows if may(x, y)}
+    assert {i for _, i in got} == {i for i, _ in want}
+    under = defaultdict(set)
+    for h, i in got:
+        under[i].add(h)
+        assert got[h, i] == next((x[2], x[4]) for x in rows if x[1] == i)
+    assert all(under[a] & under[b] for a, b in want)
+
+
+def test_short_forms_find_all_links_and_margins():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    base = np.unique(rnd.integers(0, 2**63, 400, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[: 400 - k], rnd.integers(0, 2**63, k, dtype=np.uint64)))) for k in range(0, 120, 4)]
+    flat, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    short = nearjoin.narrowed(flat, starts)
+    wide = [nearjoin.widened(short[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    everyone = np.ones(len(sets), bool)
+    for i in range(len(sets)):
+        margins, exact = [], []
+        found = nearjoin.divide_skip(wide[i], nearjoin.Lists(wide), everyone, 75, 100, margins)
+        assert found == nearjoin.divide_skip(sets[i], nearjoin.Lists(sets), everyone, 75, 100, exact) and margins == exact and margins
+    same = np.array([5, 5, 5, 7], np.uint32)  # forms that meet inside a set still count one by one
+    assert len(np.intersect1d(nearjoin.widened(same), nearjoin.widened(np.array([5, 5, 7, 7], np.uint32)))) == 3
 
 
 def test_components_of_chain_and_star(spark):

@@ -1,73 +1,31 @@
-"""What the training-data operators share: the scratch folder, written tables and the word pattern."""
+"""What the training-data operators share: written tables, the word pattern, hash keys and the size of batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import scratch
+from ..plans.scratch import forget  # noqa: F401
+
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that no later result reads."""
-    for df in tables:
-        if path := getattr(df, "_weft_path", None):
-            _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # the session has ended; its shared folder is the cluster's to clear
-            return
+    return scratch.written(df, name)
 
 
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """df, with the session set to send at most so many rows to Python at a time: a worker's memory then depends on the
-    length of its texts, not on the size of its partition."""
+    """df, with the session set to send at most so many rows (and at most 8 MiB) to Python at a time: a worker's memory then
+    depends on the length of its texts, not on the size of its partition. Spark has no such setting for a single plan, so this
+    one stays with the session; it changes no result."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, rows)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     return df
 
 

@@ -287,10 +287,11 @@ def dedup_lines(
     order = F.coalesce("doc_id", F.lit(-(2**63)))
     holders = suspects.select("key", "doc_id").distinct()
     repeated = holders.groupBy("key").agg(F.count("*").alias("n"), F.max_by("doc_id", order).alias("stays")).where(F.col("n") >= min_docs)
-    gone = suspects.join(repeated.select("key", "stays"), "key").where(~F.col("doc_id").eqNullSafe(F.col("stays")))
+    repeated = written(repeated.select("key", "stays"), "repeated")  # so that a key of very many lines can be split in the join
+    gone = suspects.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("stays")))
     gone = gone.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("rid").alias("g_rid"), "gone")
     gone = written(gone, "gone")
-    forget(suspects)
+    forget(suspects, repeated)
     rows = docs.select("doc_id", "text", F.struct(*others).alias("others") if others else F.lit(0).alias("others"), F.xxhash64("text").alias("rid"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("rid") == F.col("g_rid")), "left")
     out = joined.withColumn("out", F.arrow_udf(_without, "struct<text:string,n_lines:long,n_dropped:long>")("text", "gone"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cell_bits, n_words, small_batches, spread, written
 
 KEY_BITS = 60
+BLOCK_BITS = 10
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -59,10 +60,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rows = rows.withColumn("cell", F.shiftright("key", KEY_BITS - bits))
     cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"), F.first("source").alias("source"))
     sizes = cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size"), F.first("source").alias("source"))
-    before_cell = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("skey", "cell", F.coalesce(F.sum("cell_size").over(before_cell), F.lit(0)).alias("offset")).join(
-        source_targets(sizes, weights, share, max_epochs), "skey"
-    )
+    # Prefix sums over a source's cells in two levels: over blocks of cells, and over the cells of each block.
+    cells = cells.withColumn("block", F.shiftright("cell", BLOCK_BITS))
+    before_block = Window.partitionBy("skey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cells.groupBy("skey", "block").agg(F.sum("cell_size").alias("s")).select("skey", "block", F.coalesce(F.sum("s").over(before_block), F.lit(0)).alias("base"))
+    before_cell = Window.partitionBy("skey", "block").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    within = cells.select("skey", "block", "cell", F.coalesce(F.sum("cell_size").over(before_cell), F.lit(0)).alias("inside"))
+    offsets = within.join(blocks, ["skey", "block"]).select("skey", "cell", (F.col("base") + F.col("inside")).alias("offset"))
+    offsets = offsets.join(source_targets(sizes, weights, share, max_epochs), "skey")
     inside = Window.partitionBy("skey", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "cell"])
     budget = F.round("target").cast("long")
