@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import linededup, mixing, nearjoin, pieces, quality
-from weftgraph.llm.common import written
+from weftgraph.llm.common import forget, written
 from weftgraph.llm.queries import tokenizer_path
 
-#: SQL cannot express suffix arrays, components or piece encoding; tests/llm compares the stages with brute force.
+#: SQL cannot express suffix arrays, components or piece encoding; tests/llm/test_pipeline.py does all stages by hand.
 ORACLE_SQL = None
 
 
@@ -56,8 +56,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{i}")
+        forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
