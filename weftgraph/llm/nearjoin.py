@@ -423,7 +423,8 @@ def _searched(groups: DataFrame, texts: DataFrame, n_words: int, num: int, den:
     ids = written(groups.select("id").distinct(), "ids")
     if groups.isEmpty():
         return groups.selectExpr("id AS u", "id AS v", "asks AS sure")
-    full = sets_of(ids, texts, n_words, short).join(placed, "id")
+    # One plan at every size: the table of places grows with the corpus, so it is not broadcast where it happens to be small.
+    full = sets_of(ids, texts, n_words, short).hint("merge").join(placed, "id")
     links = written(full.groupBy("h", "x", "y").applyInArrow(_search(num, den, short), "u long, v long, sure boolean"), "links")
     forget(groups, placed, ids)
     return links
