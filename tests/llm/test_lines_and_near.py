@@ -175,6 +175,43 @@ def test_short_forms_find_all_links_and_margins():
     assert len(np.intersect1d(nearjoin.widened(same), nearjoin.widened(np.array([5, 5, 7, 7], np.uint32)))) == 3
 
 
+def test_links_close_to_the_limit_are_fewer_than_documents():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 2**63, 128, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base, rnd.integers(0, 2**63, 20, dtype=np.uint64)))) for _ in range(60)]
+    packed = [nearjoin.narrowed(s, np.array([0, len(s)])).tobytes() for s in sets]
+    n = len(sets)
+    cell = pa.table({"h": [7] * n, "id": list(range(n)), "comp": list(range(n)), "part": [0] * n, "asks": [True] * n, "shingles": pa.array(packed, pa.binary())})
+    found = nearjoin._search(75, 100, True)(cell).to_pylist()
+    assert len(found) == n - 1 and not any(x["sure"] for x in found) and {x["h"] for x in found} == {7}
+
+
+def test_forms_that_meet_by_chance_hide_no_link(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    def forms(texts):
+        flat, starts = (np.concatenate([x[i] if i == 1 else np.diff(x[2]) for x in nearjoin._sets(pa.array(texts), 5)]) for i in (1, 2))
+        starts = np.concatenate(([0], np.cumsum(starts)))
+        return [nearjoin.narrowed(flat[a:b], np.array([0, b - a])) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+    one = [f"q{i} r s t u" for i in range(300_000)]
+    short = np.concatenate(forms(one))
+    by = np.argsort(short, kind="stable")
+    at = np.flatnonzero(short[by][1:] == short[by][:-1])[0]
+    common = " ".join(f"w{i}" for i in range(27))
+    texts = [f"{common} {one[by[at]]}", f"{common} {one[by[at + 1]]}", common]
+    a, b, c = (nearjoin.widened(x) for x in forms(texts))
+    assert len(np.intersect1d(a, b)) == 24 and len(c) == 23  # 23 in truth, where 24 are needed
+    groups = spark.createDataFrame([(0, i, 28 if i < 2 else 23, i, True) for i in range(3)], "h long, id long, n int, comp long, asks boolean")
+    links = nearjoin.linked(groups, spark.createDataFrame(list(enumerate(texts)), "k long, text string"), 5, 75, 100)
+    found = {tuple(sorted(x)) for x in links.collect()}
+    assert found == {(0, 2), (1, 2)}
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 110)] + [(5, 5)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

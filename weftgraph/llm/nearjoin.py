@@ -7,8 +7,8 @@
 3. An inverted list has a head, the smallest document in it. First every document meets the heads of its lists, as far as
    sizes and places in the lists allow the overlap; that joins groups of near copies without their pairs. Then, in the lists
    that still hold several components, documents that by sizes and places may link with one of another component form
-   neighbourhoods: two documents that can reach the overlap share a list, so they meet. Pairs are never rows: a neighbourhood
-   travels as its documents' sets.
+   neighbourhoods: two documents that can reach the overlap share a list, so they meet. Candidate pairs are never rows: a
+   neighbourhood travels as its documents' sets, and a search gives fewer links than it has documents.
 4. A neighbourhood is cut into parts of bounded total size and each pair of parts is searched in one task: for a query
    document, the short inverted lists of its shingles are merged, and documents that reach the overlap less the number of long
    lists are probed in the long lists by binary search (DivideSkip). Only documents of other components are looked for.
@@ -328,12 +328,16 @@ def surely(margin: int, n: int) -> bool:
     return margin >= 6 + 100 * n * n / 2**32
 
 
+LINK = "h long, u long, v long, sure boolean"
+
+
 def _search(num: int, den: int, short: bool):
-    """The links (u, v, sure) in one cell of a neighbourhood: rows of id, comp, part, asks, shingles.
+    """The links (h, u, v, sure) in one cell of a neighbourhood: rows of h, id, comp, part, asks, shingles.
 
     Documents that ask are queries for those of other components. A component asks only those that come after it when ordered
     by their number of rows here, so each pair is looked at once and the largest is never a query. In a cell of two parts only
-    documents of different parts meet. With short forms a link that is close to the limit is not sure.
+    documents of different parts meet. With short forms a link that is close to the limit is not sure. A link, sure or not,
+    joins its components, so that there are fewer links than components; who finds one untrue has to search again.
     """
 
     def run(cell: pa.Table) -> pa.Table:
@@ -366,12 +370,10 @@ def _search(num: int, den: int, short: bool):
                 a, b = top(int(group[i])), top(int(group[j]))
                 if a == b:
                     continue
-                sure = not short or surely(margin, max(len(sets[i]), len(sets[j])))
-                if sure:
-                    head[a] = b
-                links.append((int(ids[i]), int(ids[j]), sure))
+                head[a] = b
+                links.append((int(ids[i]), int(ids[j]), not short or surely(margin, max(len(sets[i]), len(sets[j])))))
         u, v, sure = zip(*links, strict=True) if links else ((), (), ())
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sure": pa.array(sure, pa.bool_())})
+        return pa.table({"h": cell.column("h")[: len(links)], "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sure": pa.array(sure, pa.bool_())})
 
     return run
 
@@ -395,24 +397,38 @@ def sets_of(ids: DataFrame, texts: DataFrame, n_words: int, short: bool) -> Data
 
 
 def linked(groups: DataFrame, texts: DataFrame, n_words: int, num: int, den: int, cell: int = CELL_SHINGLES) -> DataFrame:
-    """Links (u, v) between documents of different components in the same neighbourhood: searched in short forms of the
-    shingles, which find all links; those that are close to the limit are looked at again, pair by pair, in whole shingles."""
+    """Links (u, v) that join what hangs together among documents of different components in the same neighbourhood.
+
+    The search in short forms of the shingles gives links enough to join all that link, fewer than documents. Those that are
+    close to the limit are looked at again in whole shingles. Where one of them comes from forms that meet by chance, others
+    that it made needless may be missing: the neighbourhood is searched again as a whole in whole shingles.
+    """
+    groups = written(groups, "groups")
     found = _searched(groups, texts, n_words, num, den, cell, True)
-    unsure = written(found.where("NOT sure").select("u", "v").distinct(), "unsure")
-    one = unsure.select(F.xxhash64("u", "v").alias("h"), F.explode(F.array("u", "v")).alias("id"))
-    again = _searched(one.select("h", "id", F.lit(0).alias("n"), F.col("id").alias("comp"), F.lit(True).alias("asks")), texts, n_words, num, den, cell, False)
-    links = written(found.where("sure").unionByName(again).select("u", "v"), "links")
-    forget(found, unsure, again)
+    unsure = written(found.where("NOT sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "h").distinct(), "unsure")
+    one = unsure.select("u", "v").distinct().select(F.xxhash64("u", "v").alias("h"), F.explode(F.array("u", "v")).alias("id"))
+    one = written(one.select("h", "id", F.lit(0).alias("n"), F.col("id").alias("comp"), F.lit(True).alias("asks")), "groups")
+    again = _searched(one, texts, n_words, num, den, cell, False)
+    true = again.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    links = found.where("sure").select("u", "v").unionByName(true)
+    doubtful = written(unsure.join(true, ["u", "v"], "left_anti").select("h").distinct(), "doubtful")
+    whole = None
+    if not doubtful.isEmpty():
+        rest = written(groups.join(doubtful, "h", "left_semi"), "groups")
+        whole = _searched(rest, texts, n_words, num, den, cell, False)
+        links = links.unionByName(whole.select("u", "v"))
+        forget(rest)
+    links = written(links, "links")
+    forget(groups, found, unsure, one, again, doubtful, *([whole] if whole is not None else []))
     return links
 
 
 def _searched(groups: DataFrame, texts: DataFrame, n_words: int, num: int, den: int, cell: int, short: bool) -> DataFrame:
-    """A written table of links (u, v, sure).
+    """A written table of links (h, u, v, sure).
 
-    groups: (h, id, n, comp, asks): id, of n shingles, is in the neighbourhood h; asks: whether it looks for others. Where not
-    all ask, those that do are in every part.
+    groups: a written table (h, id, n, comp, asks): id, of n shingles, is in the neighbourhood h; asks: whether it looks for
+    others. Where not all ask, those that do are in every part.
     """
-    groups = written(groups, "groups")
     parts = groups.groupBy("h").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / cell)).cast("int").alias("k"), F.min("asks").alias("all_ask"))
     part = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     every = F.sequence(F.lit(0), F.col("k") - 1)
@@ -422,11 +438,11 @@ def _searched(groups: DataFrame, texts: DataFrame, n_words: int, num: int, den:
     placed = written(placed.withColumn("part", F.when(F.col("all_ask"), F.col("part")).otherwise(0)).drop("all_ask"), "placed")
     ids = written(groups.select("id").distinct(), "ids")
     if groups.isEmpty():
-        return groups.selectExpr("id AS u", "id AS v", "asks AS sure")
+        return groups.selectExpr("h", "id AS u", "id AS v", "asks AS sure")
     # One plan at every size: the table of places grows with the corpus, so it is not broadcast where it happens to be small.
     full = sets_of(ids, texts, n_words, short).hint("merge").join(placed, "id")
-    links = written(full.groupBy("h", "x", "y").applyInArrow(_search(num, den, short), "u long, v long, sure boolean"), "links")
-    forget(groups, placed, ids)
+    links = written(full.groupBy("h", "x", "y").applyInArrow(_search(num, den, short), LINK), "links")
+    forget(placed, ids)
     return links
 
 
