@@ -212,6 +212,14 @@ def test_forms_that_meet_by_chance_hide_no_link(spark):
     assert found == {(0, 2), (1, 2)}
 
 
+def test_copies_that_the_filter_lets_through_hide_no_class(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "WANTED_BITS", (3, 3))  # nearly everything passes
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(40)] + [(i, " ".join([*base, "more"])) for i in range(40, 80)]
+    got = nearjoin.jaccard_components(docs(spark, rows))
+    assert Counter(map(tuple, got.collect())) == Counter((i, 56 + (i >= 40), 0) for i in range(80))
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 110)] + [(5, 5)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -161,32 +161,33 @@ def wanted_of(ids: DataFrame) -> Wanted:
 
 
 def _postings(n_words: int, num: int, den: int, sketch, bits: int, slices: int, heavy: int, wanted: Wanted):
-    """Packed postings of the indexed shingles of the wanted documents, each class once for a task: a row for each slice that a
-    run of documents has some in.
+    """Packed postings of the indexed shingles of the wanted documents: a row for each slice that a run of documents has some in.
 
+    The filter lets some others through. Of a class the document of the smallest key stands for it, so in a task a class comes
+    again only with a smaller key than before: others cannot be the one, and the one is never left out.
     Shingles counted more than heavy times are not gathered by hash: their postings stay where they are, and all are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.minimum(np.frombuffer(zlib.decompress(sketch.value), np.uint64), U(2**32 - 1)).astype(np.uint32)
-        done: set[tuple[int, int]] = set()
+        done: dict[tuple[int, int], int] = {}
         for batch in wanted.kept(batches):
             keys = np.asarray(batch.column(0))
             for at, flat, starts in _sets(batch.column(1), n_words):
                 s1, s2 = _identity(flat, starts)
                 found = []
                 for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-                    n, own = b - a, (int(s1[i]), int(s2[i]))
-                    if not n or own in done:
+                    n, own, key = b - a, (int(s1[i]), int(s2[i])), int(keys[at + i])
+                    if not n or done.get(own, key + 1) <= key:
                         continue
-                    done.add(own)
+                    done[own] = key
                     s = flat[a:b]
                     indexed = n - -(-num * n // den) + 1
                     seen = counts[_at(s, bits)]
                     first = np.lexsort((s, seen))[:indexed]
                     p = np.empty(indexed, POSTING)
                     h = mix64(s[first])
-                    p["token"], p["id"], p["n"], p["pos"] = h >> U(32), keys[at + i], n, np.arange(indexed)
+                    p["token"], p["id"], p["n"], p["pos"] = h >> U(32), key, n, np.arange(indexed)
                     found.append((p, seen[first] > heavy, (h & U(0xFFFFFFFF)) % U(slices)))
                 if not found:
                     continue
