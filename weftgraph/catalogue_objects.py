@@ -289,7 +289,7 @@ def lang_delete_type_by_id(spark, d):
 @query("SELECT 'n:' || n_nationkey AS src, 'y:' || n_nationkey AS dst FROM nation WHERE false UNION ALL SELECT 'Ann', n_name FROM nation")
 def lang_batch(spark, d):
     """Statements in a row, each on what those before it have left."""
-    s = Session(_stored(spark, d), write_after=2)
+    s = Session(whole(spark, d), write_after=2)
     s.execute('create type {name:"guide", who} create vertex {type(name:"guide"){"Ann"}} create vertex {who:"Bob"}; alter delete vertex(who:"Bob")')
     s.execute('create edge vertex(who:)-[leads:1]->vertex(n_name:) alter type(name:"guide") change {"leader", who:name}')
     g = s.graph
@@ -364,7 +364,7 @@ STATEMENTS = 'alter vertex(c_mktsegment:"BUILDING") change {c_acctbal:0.5} alter
 def change_events(spark, d):
     """What a session writes to the change log, statement by statement."""
     log = ChangeLog(spark, _place(spark, "log"))
-    Session(_stored(spark, d), log=log, write_after=1).execute(STATEMENTS)
+    Session(whole(spark, d), log=log, write_after=1).execute(STATEMENTS)
     return log.read().groupBy("version", "kind", "op").agg(F.count("*").alias("n"))
 
 
@@ -381,7 +381,7 @@ def change_payload(spark, d):
 def followed_changes(spark, d):
     """A subscriber that follows vertex changes as a stream, while another one saves the graph."""
     log, seen = ChangeLog(spark, _place(spark, "log")), []
-    s = Session(_stored(spark, d), log=log, write_after=1)
+    s = Session(whole(spark, d), log=log, write_after=1)
     s.execute(STATEMENTS.split(" create edge")[0])
     log.follow(lambda batch, _: seen.extend(map(tuple, batch.groupBy("op").count().collect())), "counts", kind="vertex").awaitTermination()
     saved = _place(spark, "saved")

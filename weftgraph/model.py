@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.attributes import ATTRS, EXISTS, Access, ColumnAccess, MapAccess, tagged
+from .functions.attributes import ATTR, ATTRS, EXISTS, Access, ColumnAccess, MapAccess, tagged
 
 VERTEX = f"seq bigint, id string, type_id string, attrs {ATTRS}"
 EDGE = f"seq bigint, id string, src string, dst string, attrs {ATTRS}"
@@ -177,20 +177,24 @@ class WideGraph(GraphView):
     def to_map_layout(self) -> PropertyGraph:
         """The same graph in the map layout, with type names as type ids.
 
-        A row's place in its Parquet file is its sequence number, and file and place make an edge's id; where rows come from
-        elsewhere, a hash of all their columns stands for both.
+        A row's place in its Parquet file is its sequence number, and a hash of its file and the place make an edge's id, which
+        compresses well; where rows come from elsewhere, a hash of all their columns stands for both.
         """
 
-        def place(frame: DataFrame) -> tuple[Column, Column]:
-            """(sequence number, text that names the row)."""
+        def place(frame: DataFrame, *of: str) -> tuple[Column, Column]:
+            """(sequence number, id of an edge of that label and source)."""
             try:
                 frame.select("_metadata.row_index", "_metadata.file_name").schema  # noqa: B018
             except AnalysisException:
                 own = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in frame.columns])
-                return F.xxhash64(own), own
-            return F.col("_metadata.row_index"), F.concat_ws("|", "_metadata.file_name", "_metadata.row_index")
+                return F.xxhash64(own), F.sha2(F.concat_ws("|", *map(F.lit, of), own), 256)
+            return F.col("_metadata.row_index"), F.concat_ws("-", F.hex(F.xxhash64(*map(F.lit, of), "_metadata.file_name")), "_metadata.row_index")
 
-        def attrs(frame: DataFrame, columns: dict[str, str]) -> Column:
+        def attrs(frame: DataFrame, columns: dict[str, str], label: str | None = None) -> Column:
+            """The attribute map. All of it is compiled: a lambda over entries costs microseconds a row.
+
+            Where all columns have values the map is made in one piece, else of a piece for each column.
+            """
             kinds = dict(frame.dtypes)
             entries = []
             for name, c in columns.items():
@@ -203,8 +207,14 @@ class WideGraph(GraphView):
                     (F.col(c).cast("double") if kind == "double" else F.lit(None).cast("double")).alias("d"),
                     (F.col(c) if kind == "bool" else F.lit(None).cast("boolean")).alias("b"),
                 )
-                entries.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(name.lower()).alias("key"), value.alias("value"))))
-            return F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.expr(f"cast(map() as {ATTRS})")
+                entries.append((F.col(c).isNotNull(), F.lit(name.lower()), value))
+            bare = [F.lit(label.lower()), F.lit(None).cast(ATTR)] if label is not None else []
+            if not entries:
+                return F.create_map(*bare) if bare else F.expr(f"cast(map() as {ATTRS})")
+            whole = F.create_map(*bare, *[x for _, k, v in entries for x in (k, v)])
+            empty = F.expr(f"cast(map() as {ATTRS})")
+            pieces = [F.when(there, F.create_map(k, v)).otherwise(empty) for there, k, v in entries]
+            return F.when(reduce(Column.__and__, [there for there, _, _ in entries]), whole).otherwise(F.map_concat(*([F.create_map(*bare)] if bare else []), *pieces))
 
         vertices = [
             v.frame.select(place(v.frame)[0].cast("bigint").alias("seq"), v.id.alias("id"), F.lit(v.type).alias("type_id"), attrs(v.frame, {a: a for a in self.vertex_tables[v.type].attributes}).alias("attrs"))
@@ -214,11 +224,8 @@ class WideGraph(GraphView):
         for label, tables in self.edge_tables.items():
             for t in tables:
                 frame = t.frame.withColumns({"s": F.col(t.src), "d": F.col(t.dst)})
-                own = attrs(frame, t.attributes)
-                if label.lower() not in {a.lower() for a in t.attributes}:
-                    own = F.map_concat(own, F.map_from_arrays(F.array(F.lit(label.lower())), F.array(F.lit(None).cast("struct<t:string,s:string,i:bigint,d:double,b:boolean>"))))
-                seq, name = place(t.frame)
-                row_id = F.sha2(F.concat_ws("|", F.lit(label), F.lit(t.src_type), name), 256)
+                own = attrs(frame, t.attributes, None if label.lower() in {a.lower() for a in t.attributes} else label)
+                seq, row_id = place(t.frame, label, t.src_type)
                 edges.append(frame.select(seq.cast("bigint").alias("seq"), row_id.alias("id"), self.id_of(t.src_type, F.col("s")).alias("src"), self.id_of(t.dst_type, F.col("d")).alias("dst"), own.alias("attrs")))
         types = type_rows(self.spark, [(n, n, list(t.attributes)) for n, t in self.vertex_tables.items()])
         return PropertyGraph(union(vertices), union(edges), types)

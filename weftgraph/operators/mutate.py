@@ -16,7 +16,10 @@ from pyspark.sql import types as T
 
 from ..functions.attributes import literals, upserted
 from ..model import EDGE, TYPE, VERTEX, PropertyGraph
-from ..plans.scratch import written
+from ..plans.scratch import appended, written
+
+#: Keys (some tens of bytes each, about 100 in a hash table) up to which they are broadcast, so that large tables lie still.
+FEW = 1_500_000
 
 
 def _numbered(new: DataFrame, old: DataFrame, schema: str) -> DataFrame:
@@ -40,15 +43,16 @@ def _split_new(new: DataFrame, old: DataFrame, key: str = "id") -> tuple[DataFra
     return marked.where(ok).select(*own), marked.where(~ok).select(*own)
 
 
-def few(keys: DataFrame, most: int = 100_000) -> DataFrame:
+def few(keys: DataFrame, most: int | None = None) -> DataFrame:
     """keys, to be broadcast if they are counted to be few."""
+    most = FEW if most is None else most
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def add_vertices(g: PropertyGraph, new: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     """new: (id, type_id, attrs). Rejects ids that exist."""
     added, rejected = _split_new(new, g.vertices)
-    return replace(g, vertices=g.vertices.unionByName(_numbered(added, g.vertices, VERTEX))), rejected
+    return replace(g, vertices=appended(g.vertices, _numbered(added, g.vertices, VERTEX))), rejected
 
 
 def add_edges(g: PropertyGraph, new: DataFrame) -> tuple[PropertyGraph, DataFrame]:
@@ -60,7 +64,7 @@ def add_edges(g: PropertyGraph, new: DataFrame) -> tuple[PropertyGraph, DataFram
     marked = added.join(s, F.col("src") == F.col("_s"), "left").join(d, F.col("dst") == F.col("_d"), "left")
     ok = F.col("_s").isNotNull() & F.col("_d").isNotNull()
     good, lost = marked.where(ok).select(*added.columns), marked.where(~ok).select(*added.columns)
-    return replace(g, edges=g.edges.unionByName(_numbered(good, g.edges, EDGE))), rejected.unionByName(lost)
+    return replace(g, edges=appended(g.edges, _numbered(good, g.edges, EDGE))), rejected.unionByName(lost)
 
 
 def add_types(g: PropertyGraph, new: DataFrame) -> tuple[PropertyGraph, DataFrame]:
@@ -69,7 +73,7 @@ def add_types(g: PropertyGraph, new: DataFrame) -> tuple[PropertyGraph, DataFram
     added, rejected = _split_new(named, g.types, "name")
     added, twice = _split_new(added, g.types, "id")
     nameless = new.where("name IS NULL OR name = ''")
-    return replace(g, types=g.types.unionByName(_numbered(added, g.types, TYPE))), rejected.unionByName(twice).unionByName(nameless)
+    return replace(g, types=appended(g.types, _numbered(added, g.types, TYPE))), rejected.unionByName(twice).unionByName(nameless)
 
 
 def _split_known(ids: DataFrame, old: DataFrame) -> DataFrame:
@@ -79,13 +83,20 @@ def _split_known(ids: DataFrame, old: DataFrame) -> DataFrame:
 
 def remove_vertices(g: PropertyGraph, ids: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     """Removes vertices with their edges. Gives back ids that were not there."""
-    gone = ids.select("id").distinct()
+    gone = few(written(ids.select("id").distinct(), "gone"))
     edges = g.edges
     for end in ("src", "dst"):
         edges = edges.join(gone.select(F.col("id").alias("_gone")), F.col(end) == F.col("_gone"), "left_anti")
     return replace(g, vertices=g.vertices.join(gone, "id", "left_anti").select(*g.vertices.columns), edges=edges), _split_known(ids, g.vertices)
 
 
+def edges_at(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges with an end among the vertices ids."""
+    at = few(written(ids.select(F.col("id").alias("_at")).distinct(), "gone"))
+    out = edges.join(at, F.col("src") == F.col("_at"), "left_semi")
+    return out.unionByName(edges.join(at, F.col("dst") == F.col("_at"), "left_semi").join(at, F.col("src") == F.col("_at"), "left_anti"))
+
+
 def remove_edges(g: PropertyGraph, ids: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     gone = ids.select("id").distinct()
     return replace(g, edges=g.edges.join(gone, "id", "left_anti").select(*g.edges.columns)), _split_known(ids, g.edges)
@@ -151,4 +162,4 @@ def connect(g: PropertyGraph, sources: DataFrame, targets: DataFrame, attrs: dic
     if both:
         pairs = pairs.withColumn("_e", F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).select("_e.src", "_e.dst")
     new = pairs.select(F.lit(None).cast("string").alias("id"), "src", "dst", literals(attrs).alias("attrs"))
-    return replace(g, edges=g.edges.unionByName(_numbered(new, g.edges, EDGE)))
+    return replace(g, edges=appended(g.edges, _numbered(new, g.edges, EDGE)))

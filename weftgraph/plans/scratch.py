@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Parts of a table up to which it is kept in parts.
+MOST_PARTS = 16
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,6 +38,23 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def parts(df: DataFrame) -> list[DataFrame]:
+    """The frames that df is the union of by appended(); else df alone."""
+    return getattr(df, "_weft_parts", [df])
+
+
+def appended(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old and new, which is known to be a part: what holds old need not write it again."""
+    out = old.unionByName(new)
+    out._weft_parts = [*parts(old), *parts(new)]
+    return out
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether df is a table that written() has made or that a stored graph holds."""
+    return hasattr(df, "_weft_path") or hasattr(df, "_weft_stored")
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later result reads."""
     for df in tables:

@@ -44,6 +44,7 @@ class Session:
         self.graph, self.strict, self.star_as_path, self.write_after = graph, strict, star_as_path, write_after
         self.log, self.path, self.autosave = log, path, autosave
         self._changes = self._number = 0
+        self._settled = graph if isinstance(graph, PropertyGraph) else None  # the tables as they were given or written last
         self._version = log.last_version() if log else 0
         self._subscribers: list[Callable[[DataFrame, int], None]] = []
 
@@ -61,6 +62,7 @@ class Session:
             raise TypeError("only a graph in the map layout can be saved; see WideGraph.to_map_layout()")
         storage.save(self.graph, path, mode="overwrite")
         self.path, self.graph = path, storage.load(self.graph.spark, path)
+        self._settled = self.graph
 
     def subscribe(self, subscriber: Callable[[DataFrame, int], None]) -> None:
         """Calls subscriber(changes, version) after every statement that changes the graph; changes as in a change log."""
@@ -86,7 +88,7 @@ class Session:
         changed, parts = getattr(self, "_" + type(statement).__name__)(statement)
         self._changes += 1
         if self._changes % self.write_after == 0:
-            changed = replace(changed, vertices=scratch.written(changed.vertices), edges=scratch.written(changed.edges), types=scratch.written(changed.types))
+            changed = self._settled = self._written(changed)
         if self.log or self._subscribers:
             self._version += 1
             rows = scratch.written(change_rows(old.spark, parts, self._version))
@@ -99,6 +101,16 @@ class Session:
             self.save()
         return Result("change")
 
+    def _written(self, g: PropertyGraph) -> PropertyGraph:
+        """g with its tables written. What statements have left alone since, or only added written rows to, is not written again."""
+
+        def settled(frame: DataFrame, before: DataFrame) -> bool:
+            own, known = scratch.parts(frame), scratch.parts(before)
+            return len(own) <= scratch.MOST_PARTS and all(scratch.is_written(x) or any(x is y for y in known) for x in own)
+
+        tables = {n: (getattr(g, n), getattr(self._settled, n)) for n in ("vertices", "edges", "types")}
+        return replace(g, **{n: scratch.written(frame) for n, (frame, before) in tables.items() if not settled(frame, before)})
+
     def _error(self, code: int, token: str) -> GraphQueryError:
         return GraphQueryError(code, self._number, token)
 
@@ -174,7 +186,7 @@ class Session:
     def _CreateEdge(self, s: S.CreateEdge) -> Changed:
         vertices = self.graph.vertices
         g = mutate.connect(self.graph, vertices.where(self._where(s.source)), vertices.where(self._where(s.target)), s.attrs, s.both)
-        return g, [("edge", "add", g.edges.join(self.graph.edges.select("id"), "id", "left_anti"))]
+        return g, [("edge", "add", scratch.parts(g.edges)[-1])]
 
     def _CreateType(self, s: S.CreateType) -> Changed:
         rows = type_rows(self.graph.spark, [(str(uuid.uuid4()), s.name, list(s.keys))])
@@ -213,8 +225,10 @@ class Session:
             found = select.by_id(self.graph.vertices, s.id)
             if found.isEmpty():
                 raise self._error(NO_VERTEX, s.id)
-        g = mutate.remove_vertices(self.graph, found)[0]
-        return g, [("vertex", "remove", found), ("edge", "remove", self.graph.edges.join(g.edges.select("id"), "id", "left_anti"))]
+        g, lost = mutate.remove_vertices(self.graph, found)[0], mutate.edges_at(self.graph.edges, found)
+        if lost.isEmpty():
+            g = replace(g, edges=self.graph.edges)  # the same table, which need not be written again
+        return g, [("vertex", "remove", found), ("edge", "remove", lost)]
 
     def _DeleteType(self, s: S.DeleteType) -> Changed:
         if s.name is not None:

@@ -23,7 +23,7 @@ CHANGE = "version bigint, kind string, op string, id string, payload string"
 def _content(frame: DataFrame):
     """All columns but id and seq as one comparable value; maps as sorted entries."""
     kinds = {f.name: f.dataType.typeName() for f in frame.schema.fields}
-    return F.to_json(F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if kinds[c] == "map" else F.col(c) for c in frame.columns if c not in ("id", "seq")]))
+    return F.to_json(F.struct(*[F.sort_array(F.map_entries(c)).alias(c) if kinds[c] == "map" else F.col(c) for c in frame.columns if c not in ("id", "seq")]))
 
 
 def changes(old: PropertyGraph, new: PropertyGraph, version: int) -> DataFrame:
