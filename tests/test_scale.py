@@ -38,3 +38,15 @@ def test_only_changed_tables_are_written_after_a_statement(spark, tmp_path):
     assert s.graph.edges.count() == 0 and s.graph.vertices.count() == 2
     lost = log.read().where("version = 6 AND kind = 'edge'").select("op", "id").collect()
     assert len(lost) == 4 and {r.op for r in lost} == {"remove"} and {"e1", "e2", "e3"} < {r.id for r in lost}
+
+
+def test_attribute_maps_are_compiled_and_leave_out_nulls(spark):
+    """create_edge_cross, create_edge_bidir, search_nearby_by_key."""
+    frame = spark.createDataFrame([(1, 2, 0.5, "p", None), (2, 1, None, "q", True), (3, 3, None, None, None)], "k long, o long, w double, name string, b boolean")
+    t = VertexTable(frame, "k", "v:", ("name", "b"))
+    g = WideGraph({"v": t}, {"near": [EdgeTable(frame, "v", "k", "v", "o", {"w": "w", "name": "name"})], "bare": [EdgeTable(frame, "v", "k", "v", "o")]}).to_map_layout()
+    assert "lambda" not in plan(g.edges) + plan(g.vertices)
+    got = {r.id: {k: untagged(v) for k, v in r.attrs.items()} for r in g.vertices.collect()}
+    assert got == {"v:1": {"name": "p"}, "v:2": {"name": "q", "b": True}, "v:3": {}}
+    edges = sorted((r.src, sorted((k, untagged(v)) for k, v in r.attrs.items())) for r in g.edges.collect())
+    assert edges == [("v:1", [("bare", None)]), ("v:1", [("name", "p"), ("near", None), ("w", 0.5)]), ("v:2", [("bare", None)]), ("v:2", [("name", "q"), ("near", None)]), ("v:3", [("bare", None)]), ("v:3", [("near", None)])]
