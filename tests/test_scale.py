@@ -40,6 +40,21 @@ def test_only_changed_tables_are_written_after_a_statement(spark, tmp_path):
     assert len(lost) == 4 and {r.op for r in lost} == {"remove"} and {"e1", "e2", "e3"} < {r.id for r in lost}
 
 
+def test_a_save_writes_only_what_is_new(spark, tmp_path):
+    """autosaved, save_in_place."""
+    path = f"{tmp_path}/graph"
+    s = Session(small(spark), path=path, autosave=True)
+    for name in ("d", "e", "f"):
+        s.execute(f'create vertex {{n:"{name}"}}')
+        if name != "d":
+            version = storage.current_version(spark, path)
+            assert not os.path.exists(f"{path}/tables/{version}/edges") and spark.read.parquet(f"{path}/tables/{version}/vertices").count() == 1
+    g = storage.load(spark, path)
+    assert g.counts() == {"vertices": 6, "edges": 3, "types": 1}
+    s.execute("alter delete vertex(x:)")
+    assert storage.load(spark, path).counts() == {"vertices": 5, "edges": 2, "types": 1}
+
+
 def test_attribute_maps_are_compiled_and_leave_out_nulls(spark):
     """create_edge_cross, create_edge_bidir, search_nearby_by_key."""
     frame = spark.createDataFrame([(1, 2, 0.5, "p", None), (2, 1, None, "q", True), (3, 3, None, None, None)], "k long, o long, w double, name string, b boolean")

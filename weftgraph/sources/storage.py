@@ -8,27 +8,30 @@ task holds all members; they are one type again when read.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import ATTR, ATTRS
-from ..model import EDGE, TYPE, VERTEX, PropertyGraph
-from ..plans.scratch import delete, file_system, written
+from ..model import EDGE, TYPE, VERTEX, PropertyGraph, union
+from ..plans.scratch import MOST_PARTS, appended, delete, file_system, parts, written
 
 # Suffixes of the text form's files, and the characters that are escaped, in order of escaping.
 VERTEX_FILE, TYPE_FILE, EDGE_FILE, MANIFEST = "_Vertex.gdbt", "_Type.gdbt", "_Edge.gdbt", ".gdbf"
-POINTER = "CURRENT"
+POINTER, PARTS, TABLES = "CURRENT", "PARTS", "tables"
 ESCAPED = (("%", "%25"), (" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
 MEMBERS_PER_RECORD = 100_000
 
 
 def save(g: PropertyGraph, path: str, mode: str = "error") -> None:
-    """Writes the three tables as Parquet under a new version folder, vertices by type so that typed scans read only their part.
+    """Writes the three tables as Parquet for a new version, vertices by type so that typed scans read only their part.
 
-    A pointer file then names the version, so a graph may be saved over the path that it was loaded from, readers see the old
-    or the new version whole, and a failed save changes nothing. The version before stays; older ones are deleted.
+    Of a graph that was loaded from there only what is new is written: a version names the folders that its tables' parts are in,
+    and those of the version before serve again. A pointer file then names the version, so a graph may be saved over the path that it was loaded from, readers see the old
+    or the new version whole, and a failed save changes nothing. The version before stays; what older ones hold and
+    neither needs is deleted.
     """
     spark = g.spark
     now = current_version(spark, path)
@@ -36,22 +39,57 @@ def save(g: PropertyGraph, path: str, mode: str = "error") -> None:
         raise FileExistsError(f"{path} holds a graph; mode='overwrite' saves over it")
     number = 1 + (int(now.split("-")[1]) if now else 0)
     version = f"v-{number}-{uuid.uuid4().hex[:8]}"
-    g.vertices.write.partitionBy("type_id").parquet(f"{path}/{version}/vertices")
-    g.edges.write.parquet(f"{path}/{version}/edges")
-    g.types.write.parquet(f"{path}/{version}/types")
+    before = _folders(spark, path, now) if now else {}
+    folders = {}
+    for name in ("vertices", "edges", "types"):
+        own = parts(getattr(g, name))
+        known = [getattr(x, "_weft_stored", None) for x in own]
+        kept = [k is not None and k[0] == path and k[1] in before.get(name, ()) for k in known]
+        if len(own) > MOST_PARTS:
+            kept = [False] * len(own)
+        fresh = [x for x, k in zip(own, kept, strict=True) if not k]
+        folders[name] = [k[1] for k, old in zip(known, kept, strict=True) if old]
+        if fresh:
+            writer = union(fresh).write
+            (writer.partitionBy("type_id") if name == "vertices" else writer).parquet(f"{path}/{TABLES}/{version}/{name}")
+            folders[name].append(f"{TABLES}/{version}/{name}")
+    _put(spark, f"{path}/{version}/{PARTS}", json.dumps(folders))
     fs, folder = file_system(spark, path)
-    _, new = file_system(spark, f"{path}/{POINTER}.{version}")
-    out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
-    out.close()
+    new = _put(spark, f"{path}/{POINTER}.{version}", version)
     _, pointer = file_system(spark, f"{path}/{POINTER}")
     fs.delete(pointer, False)
     if not fs.rename(new, pointer):
         raise OSError(f"{path}/{POINTER} could not be moved in place")
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("v-") and name not in (version, now):
-            fs.delete(status.getPath(), True)
+    needed = {f for x in (folders, before) for own in x.values() for f in own}
+    names = lambda p: [x.getPath().getName() for x in fs.listStatus(p)]
+    _, tables = file_system(spark, f"{path}/{TABLES}")
+    for v in names(tables):
+        _, of_version = file_system(spark, f"{path}/{TABLES}/{v}")
+        left = [n for n in names(of_version) if f"{TABLES}/{v}/{n}" in needed]
+        for n in set(names(of_version)) - set(left):
+            delete(spark, f"{path}/{TABLES}/{v}/{n}")
+        if not left:
+            fs.delete(of_version, True)
+    for v in names(folder):
+        if v.startswith("v-") and v not in (version, now) and not any(f.startswith(f"{v}/") for f in needed):
+            delete(spark, f"{path}/{v}")
+
+
+def _put(spark: SparkSession, path: str, text: str):
+    """Writes a small file; gives its path."""
+    fs, p = file_system(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return p
+
+
+def _folders(spark: SparkSession, path: str, version: str) -> dict[str, list[str]]:
+    """The folders that hold each table of a version, in parts."""
+    fs, p = file_system(spark, f"{path}/{version}/{PARTS}")
+    if not fs.exists(p):  # saved before versions had parts
+        return {name: [f"{version}/{name}"] for name in ("vertices", "edges", "types")}
+    return json.loads(spark.read.text(f"{path}/{version}/{PARTS}").first()[0])
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
@@ -70,7 +108,16 @@ def load(spark: SparkSession, path: str) -> PropertyGraph:
     version = current_version(spark, path)
     if version is None:
         raise FileNotFoundError(f"{path} holds no graph")
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{version}/{name}")
+    folders = _folders(spark, path, version)
+
+    def read(name: str, schema: str) -> DataFrame:
+        out = None
+        for folder in folders[name]:
+            part = spark.read.schema(schema).parquet(f"{path}/{folder}")
+            part._weft_stored = (path, folder)
+            out = part if out is None else appended(out, part)
+        return out
+
     return PropertyGraph(read("vertices", VERTEX), read("edges", EDGE), read("types", TYPE))
 
 
