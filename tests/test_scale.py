@@ -65,3 +65,16 @@ def test_attribute_maps_are_compiled_and_leave_out_nulls(spark):
     assert got == {"v:1": {"name": "p"}, "v:2": {"name": "q", "b": True}, "v:3": {}}
     edges = sorted((r.src, sorted((k, untagged(v)) for k, v in r.attrs.items())) for r in g.edges.collect())
     assert edges == [("v:1", [("bare", None)]), ("v:1", [("name", "p"), ("near", None), ("w", 0.5)]), ("v:2", [("bare", None)]), ("v:2", [("name", "q"), ("near", None)]), ("v:3", [("bare", None)]), ("v:3", [("near", None)])]
+
+
+def test_large_batches_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    """bulk_add_rejects."""
+    monkeypatch.setattr(mutate, "FEW", 2)
+    monkeypatch.setattr(mutate, "ROWS_A_TASK", 2)
+    new = vertex_rows(spark, [("a", None, {"p": 1}), ("x", None, {}), ("x", "t", {}), ("y", None, {}), ("z", None, {}), ("c", None, {})])
+    new = new.unionByName(new.where("id = 'z'").withColumn("id", F.lit(None).cast("string")))
+    g, rejected = mutate.add_vertices(small(spark), new)
+    assert sorted(r.id for r in rejected.collect()) == ["a", "c", "x"]
+    ids = sorted(r.id for r in g.vertices.collect())
+    assert len(ids) == 7 and {"a", "b", "c", "x", "y", "z"} < set(ids)
+    assert "RepartitionByExpression [id" in plan(rejected) and rejected.rdd.getNumPartitions() == 3

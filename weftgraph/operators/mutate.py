@@ -18,6 +18,8 @@ from ..functions.attributes import literals, upserted
 from ..model import EDGE, TYPE, VERTEX, PropertyGraph
 from ..plans.scratch import appended, written
 
+#: Rows of a batch that a task takes where a large batch is dealt by key.
+ROWS_A_TASK = 250_000
 #: Keys (some tens of bytes each, about 100 in a hash table) up to which they are broadcast, so that large tables lie still.
 FEW = 1_500_000
 
@@ -33,14 +35,24 @@ def _numbered(new: DataFrame, old: DataFrame, schema: str) -> DataFrame:
 def _split_new(new: DataFrame, old: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(rows to add, rows rejected): keys that exist, and all but the first of a key in the batch, are rejected."""
     turn = F.row_number().over(Window.partitionBy(key).orderBy("seq" if "seq" in new.columns else key))
-    own = new.columns
-    new = written(new.withColumn("_turn", F.when(F.col(key).isNull(), F.lit(1)).otherwise(turn)))
+    own, unnamed = new.columns, new.where(F.col(key).isNull())  # without a key: none of them is taken, and none need meet
+    new = new.where(F.col(key).isNotNull())
+    n = new.select(key).count()
+    large = n > FEW
+    # A large batch and the old keys are dealt by key over so many tasks that each holds a bounded number of rows, however
+    # well they compress; adaptive execution, which counts compressed bytes, leaves a given number as it is.
+    n_tasks = -(-max(n, old.select(key).count()) // ROWS_A_TASK) if large else 1
+    dealt = lambda frame, c: frame.repartition(n_tasks, c) if large else frame
+    new = written(dealt(new, key).withColumn("_turn", turn))
     # Only the old keys that the batch names matter: they are found by a semi-join, and the large table is not shuffled for
     # a batch that is counted to be small.
-    taken = old.select(F.col(key).alias("_k")).join(few(new.select(F.col(key).alias("_k")).distinct()), "_k", "left_semi").distinct().withColumn("_taken", F.lit(True))
+    keys = old.select(F.col(key).alias("_k"))
+    if not large:
+        keys = keys.join(F.broadcast(new.select(F.col(key).alias("_k"))), "_k", "left_semi")
+    taken, new = dealt(keys, "_k").distinct().withColumn("_taken", F.lit(True)), dealt(new, key)
     marked = new.join(taken, F.col(key) == F.col("_k"), "left")
     ok = F.col("_taken").isNull() & (F.col("_turn") == 1)
-    return marked.where(ok).select(*own), marked.where(~ok).select(*own)
+    return marked.where(ok).select(*own).unionByName(unnamed), marked.where(~ok).select(*own)
 
 
 def few(keys: DataFrame, most: int | None = None) -> DataFrame:
