@@ -67,6 +67,20 @@ def test_attribute_maps_are_compiled_and_leave_out_nulls(spark):
     assert edges == [("v:1", [("bare", None)]), ("v:1", [("name", "p"), ("near", None), ("w", 0.5)]), ("v:2", [("bare", None)]), ("v:2", [("name", "q"), ("near", None)]), ("v:3", [("bare", None)]), ("v:3", [("near", None)])]
 
 
+def test_text_form_with_few_and_many_attributes_is_read_once(spark, tmp_path):
+    """roundtrip, roundtrip_members, roundtrip_edges, roundtrip_types, text_manifest."""
+    values = ["a b%20\n", "", 5, -1.5, True, None, "'", "*", 1e300]
+    edges = [(f"e {n}", "a", "b", {f"K%{i} {n}": values[i] for i in range(n)}) for n in (0, 1, 5, 6, 7, 9)]
+    g = PropertyGraph(small(spark).vertices, edge_rows(spark, edges), type_rows(spark, [("t", "t", ["x"])]))
+    path = f"file://{tmp_path}/text"
+    storage.export_text(g, path)
+    back = storage.import_text(spark, path)
+    content = lambda h: {r.id: {k: (type(untagged(v)), untagged(v)) for k, v in r.attrs.items()} for r in h.edges.collect()}
+    assert content(back) == content(g) and len(content(g)) == 6
+    found = select.select_edges(back, "k%0 1").select("src", "attrs")
+    assert found.count() == 1 and plan(found).count("map_from_entries") == 1
+
+
 def test_large_batches_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     """bulk_add_rejects."""
     monkeypatch.setattr(mutate, "FEW", 2)

@@ -23,6 +23,8 @@ VERTEX_FILE, TYPE_FILE, EDGE_FILE, MANIFEST = "_Vertex.gdbt", "_Type.gdbt", "_Ed
 POINTER, PARTS, TABLES = "CURRENT", "PARTS", "tables"
 ESCAPED = (("%", "%25"), (" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
 MEMBERS_PER_RECORD = 100_000
+#: Attributes of an object up to which they are written and read one by one in compiled code; more go through a lambda.
+UNROLLED = 6
 
 
 def save(g: PropertyGraph, path: str, mode: str = "error") -> None:
@@ -128,9 +130,10 @@ def _escape(c: Column) -> Column:
 
 
 def _unescape(c: Column) -> Column:
+    out = c
     for plain, code in reversed(ESCAPED):
-        c = F.replace(c, F.lit(code), F.lit(plain))
-    return c
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return F.when(c.contains("%"), out).otherwise(c)
 
 
 def _value(v: Column) -> Column:
@@ -138,19 +141,22 @@ def _value(v: Column) -> Column:
     return F.when(v.isNull(), F.lit("*")).otherwise(text.when(v["t"] == "double", v["d"].cast("string")).otherwise(v["b"].cast("string")))
 
 
-def _attributes(attrs: Column) -> Column:
-    """'n key value key value ...', by key."""
-    entries = F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat_ws(" ", _escape(e["key"]), _value(e["value"])))
-    return F.concat_ws(" ", F.size(attrs).cast("string"), F.array_join(entries, " "))
+def _with_attributes(frame: DataFrame, *ends: str) -> DataFrame:
+    """(value): the columns ends, then 'n key value key value ...' of the attributes, by key."""
+    text = lambda e: F.concat_ws(" ", _escape(e["key"]), _value(e["value"]))
+    n, entries = F.size("entries"), F.col("entries")
+    one_by_one = F.concat_ws(" ", *[F.when(n > i, text(F.get("entries", F.lit(i)))) for i in range(UNROLLED)])
+    listed = F.when(n <= UNROLLED, one_by_one).otherwise(F.array_join(F.transform(entries, text), " "))
+    sorted_ = frame.select(*ends, F.sort_array(F.map_entries("attrs")).alias("entries"))
+    return sorted_.select(F.rtrim(F.concat_ws(" ", *[_escape(F.col(c)) for c in ends], n.cast("string"), listed)).alias("value"))
 
 
 def vertex_lines(g: PropertyGraph) -> DataFrame:
-    return g.vertices.select(F.rtrim(F.concat_ws(" ", _escape(F.col("id")), _attributes(F.col("attrs")))).alias("value"))
+    return _with_attributes(g.vertices, "id")
 
 
 def edge_lines(g: PropertyGraph) -> DataFrame:
-    ends = [_escape(F.col(c)) for c in ("id", "src", "dst")]
-    return g.edges.select(F.rtrim(F.concat_ws(" ", *ends, _attributes(F.col("attrs")))).alias("value"))
+    return _with_attributes(g.edges, "id", "src", "dst")
 
 
 def type_lines(g: PropertyGraph) -> DataFrame:
@@ -203,9 +209,14 @@ def _read_attributes(at: int) -> tuple[Column, Column, Column]:
     t = F.col("t")
     n = F.coalesce(F.element_at(t, at + 1).try_cast("int"), F.lit(0))
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    key = lambda i: F.lower(_unescape(F.element_at(t, (F.lit(at + 2) + 2 * i).cast("int"))))
-    entry = lambda i: F.struct(key(i).alias("key"), _read_value(F.element_at(t, (F.lit(at + 3) + 2 * i).cast("int"))).alias("value"))
-    return F.map_from_entries(F.transform(places, entry)).cast(ATTRS), F.transform(places, key), F.lit(at + 1) + 2 * n
+    # The tokens are taken out first: each is looked at several times, and lambdas are not compiled.
+    token = lambda i, j: F.element_at(t, (F.lit(at + j) + 2 * i).cast("int"))
+    pairs = F.transform(places, lambda i: F.struct(token(i, 2).alias("k"), token(i, 3).alias("v")))
+    key = lambda k: F.lower(_unescape(k))
+    entry = lambda k, v: F.struct(key(k).alias("key"), _read_value(v).alias("value"))
+    few = F.array(*[F.when(n > i, entry(F.get(t, F.lit(at + 1 + 2 * i)), F.get(t, F.lit(at + 2 + 2 * i)))) for i in range(UNROLLED)])
+    listed = F.when(n <= UNROLLED, F.slice(few, F.lit(1), F.greatest(n, F.lit(0)))).otherwise(F.transform(pairs, lambda e: entry(e["k"], e["v"])))
+    return F.map_from_entries(listed).cast(ATTRS), F.transform(pairs, lambda e: key(e["k"])), F.lit(at + 1) + 2 * n
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -216,13 +227,16 @@ def import_text(spark: SparkSession, path: str) -> PropertyGraph:
     """Reads what export_text() wrote, or files of the same form from elsewhere. All attributes and all members are kept."""
     token = lambda i: _unescape(F.element_at("t", i + 1))
     seq = F.monotonically_increasing_id()
+    # True of all rows. It keeps the number in the plan, below which no later condition can go: that would read a line's
+    # attributes once for the condition and once more for the result.
+    numbered = lambda frame: frame.where("seq >= 0")
     attrs, order, after = _read_attributes(2)
     raw = written(_records(spark, path + TYPE_FILE).select(token(0).alias("id"), token(1).alias("name"), order.alias("attr_order"), attrs.alias("attrs"), after.alias("after"), "t"))
     count = F.coalesce(F.element_at("t", (F.col("after") + 1).cast("int")).try_cast("int"), F.lit(0))
     members = raw.where(count > 0).select(F.col("id").alias("type_id"), F.explode(F.slice("t", F.col("after") + 2, count)).alias("v")).select("type_id", _unescape(F.col("v")).alias("id")).dropDuplicates(["id"])
     types = raw.dropDuplicates(["id"]).select(seq.alias("seq"), "id", "name", "attr_order", "attrs")
     attrs, _, _ = _read_attributes(1)
-    vertices = _records(spark, path + VERTEX_FILE).select(seq.alias("seq"), token(0).alias("id"), attrs.alias("attrs")).join(members, "id", "left").select("seq", "id", "type_id", "attrs")
+    vertices = numbered(_records(spark, path + VERTEX_FILE).select(seq.alias("seq"), token(0).alias("id"), attrs.alias("attrs"))).join(members, "id", "left").select("seq", "id", "type_id", "attrs")
     attrs, _, _ = _read_attributes(3)
-    edges = _records(spark, path + EDGE_FILE).select(seq.alias("seq"), token(0).alias("id"), token(1).alias("src"), token(2).alias("dst"), attrs.alias("attrs"))
+    edges = numbered(_records(spark, path + EDGE_FILE).select(seq.alias("seq"), token(0).alias("id"), token(1).alias("src"), token(2).alias("dst"), attrs.alias("attrs")))
     return PropertyGraph(vertices, edges, types)
