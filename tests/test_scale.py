@@ -92,3 +92,11 @@ def test_large_batches_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     ids = sorted(r.id for r in g.vertices.collect())
     assert len(ids) == 7 and {"a", "b", "c", "x", "y", "z"} < set(ids)
     assert "RepartitionByExpression [id" in plan(rejected) and rejected.rdd.getNumPartitions() == 3
+
+
+def test_attributes_are_set_and_taken_where_keys_are_held(spark):
+    """set_and_remove_edge_attributes."""
+    h = mutate.remove_attributes(mutate.set_attributes(small(spark), F.lit(True), {"K": 7, "w": 1}, on="edges"), F.lit(True), ["L"], on="edges")
+    got = {r.id: {k: untagged(v) for k, v in r.attrs.items()} for r in h.edges.collect()}
+    assert got == {"e1": {"k": 7, "w": 1}, "e2": {"k": 7, "w": 1}, "e3": {"k": 7, "w": 1}}
+    assert "map_contains_key" in plan(h.edges) or "array_contains" in plan(h.edges)

@@ -63,7 +63,8 @@ def literals(attrs: dict[str, Any]) -> Column:
 
 def upserted(attrs: Column, new: Column) -> Column:
     """Map attrs with the entries of map new in place of or besides its own."""
-    return F.map_concat(F.map_filter(attrs, lambda k, _: ~F.map_contains_key(new, k)), new)
+    apart = ~F.arrays_overlap(F.map_keys(attrs), F.map_keys(new))  # compiled, other than the lambda
+    return F.when(apart, F.map_concat(attrs, new)).otherwise(F.map_concat(F.map_filter(attrs, lambda k, _: ~F.map_contains_key(new, k)), new))
 
 
 class Access(Protocol):

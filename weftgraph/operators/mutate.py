@@ -8,6 +8,7 @@ as they are whatever is run again later.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -139,7 +140,9 @@ def set_attributes(g: PropertyGraph, where: Column, attrs: dict[str, Any], on: s
 def remove_attributes(g: PropertyGraph, where: Column, keys: list[str], on: str = "vertices") -> PropertyGraph:
     low = [k.lower() for k in keys]
     frame = getattr(g, on)
-    return replace(g, **{on: _changed(frame, where, "attrs", F.map_filter("attrs", lambda k, _: ~k.isin(low)))})
+    # The lambda, which is not compiled, only sees the maps that hold one of the keys.
+    held = reduce(Column.__or__, [F.map_contains_key("attrs", k) for k in low], F.lit(False))
+    return replace(g, **{on: _changed(frame, F.coalesce(where, F.lit(False)) & held, "attrs", F.map_filter("attrs", lambda k, _: ~k.isin(low)))})
 
 
 def set_type(g: PropertyGraph, where: Column, type_id: str | None) -> PropertyGraph:
