@@ -94,6 +94,14 @@ def test_large_batches_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     assert "RepartitionByExpression [id" in plan(rejected) and rejected.rdd.getNumPartitions() == 3
 
 
+def test_edges_without_the_key_lie_still_when_others_go(spark):
+    """delete_edge."""
+    s = Session(small(spark))
+    s.execute("alter delete edge(vertex(x:), vertex(y:), k)")
+    assert sorted(r.id for r in s.graph.edges.collect()) == ["e2", "e3"]
+    assert "Union" in plan(s.graph.edges)
+
+
 def test_attributes_are_set_and_taken_where_keys_are_held(spark):
     """set_and_remove_edge_attributes."""
     h = mutate.remove_attributes(mutate.set_attributes(small(spark), F.lit(True), {"K": 7, "w": 1}, on="edges"), F.lit(True), ["L"], on="edges")

@@ -252,7 +252,9 @@ class Session:
             found = found.join(ids, F.col(end) == F.col("_v"), "left_semi")
         if found.isEmpty():
             raise self._error(NO_EDGE, ", ".join(s.keys))
-        return mutate.remove_edges(self.graph, found)[0], [("edge", "remove", found)]
+        # Edges without such a key stay where they lie; only the others are looked up by id.
+        kept = mutate.remove_edges(replace(self.graph, edges=self.graph.edges.where(labelled)), found)[0].edges
+        return replace(self.graph, edges=kept.unionByName(self.graph.edges.where(~labelled))), [("edge", "remove", found)]
 
     def _ChangeType(self, s: S.ChangeType) -> Changed:
         row, g = self._type(s.name), self.graph
