@@ -102,6 +102,13 @@ def test_edges_without_the_key_lie_still_when_others_go(spark):
     assert "Union" in plan(s.graph.edges)
 
 
+def test_edges_of_a_set_as_text(spark):
+    """edges_in_regions_as_text."""
+    g = small(spark)
+    got = select.edges_as_text(g, within=select.select_edges(g, "l")).collect()
+    assert [tuple(r) for r in got] == [("e2", "Source : b \nTarget : c \nl : 2.5 \n")]
+
+
 def test_attributes_are_set_and_taken_where_keys_are_held(spark):
     """set_and_remove_edge_attributes."""
     h = mutate.remove_attributes(mutate.set_attributes(small(spark), F.lit(True), {"K": 7, "w": 1}, on="edges"), F.lit(True), ["L"], on="edges")

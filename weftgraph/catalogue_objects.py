@@ -147,8 +147,8 @@ def nations_as_text(spark, d):
 @query("SELECT 'n:' || n_nationkey AS src, 'Source : n:' || n_nationkey || ' ' || chr(10) || 'Target : r:' || n_regionkey || ' ' || chr(10) || 'in_region* ' || chr(10) AS text FROM nation")
 def edges_in_regions_as_text(spark, d):
     g = whole(spark, d)
-    named = select.edges_as_text(g).join(select.select_edges(g, "in_region").select("id", "src"), "id")
-    return named.select("src", "text")
+    found = written(select.select_edges(g, "in_region").select("id", "src"))
+    return select.edges_as_text(g, within=found).join(found, "id").select("src", "text")
 
 
 # Changes object by object and in bulk.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.attributes import EXISTS, MapAccess
 from ..model import GraphView, PropertyGraph, VertexPattern, union
 from ..plans.scratch import written
+from .mutate import few
 
 Where = Callable[[MapAccess], Column] | Column | None
 
@@ -151,7 +152,7 @@ def _text(value: Column) -> Column:
 
 def attributes_as_text(attrs: Column) -> Column:
     """Attributes as text, by key: 'key : value' lines, 'key*' for keys without a value."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.when(e["value"].isNull(), F.concat(e["key"], F.lit("* \n"))).otherwise(F.concat(e["key"], F.lit(" : "), _text(e["value"]), F.lit(" \n")))), "")
+    return F.array_join(F.transform(F.sort_array(F.map_entries(attrs)), lambda e: F.when(e["value"].isNull(), F.concat(e["key"], F.lit("* \n"))).otherwise(F.concat(e["key"], F.lit(" : "), _text(e["value"]), F.lit(" \n")))), "")
 
 
 def vertices_as_text(g: PropertyGraph) -> DataFrame:
@@ -162,6 +163,7 @@ def vertices_as_text(g: PropertyGraph) -> DataFrame:
     return full.select("id", text.alias("text"))
 
 
-def edges_as_text(g: PropertyGraph) -> DataFrame:
-    """(id, text): the endpoints and attributes of every edge."""
-    return g.edges.select("id", F.concat(F.lit("Source : "), "src", F.lit(" \nTarget : "), "dst", F.lit(" \n"), attributes_as_text(F.col("attrs"))).alias("text"))
+def edges_as_text(g: PropertyGraph, within: DataFrame | None = None) -> DataFrame:
+    """(id, text): the endpoints and attributes of every edge, or of those of a set (id)."""
+    edges = g.edges if within is None else g.edges.join(few(within.select("id")), "id", "left_semi")
+    return edges.select("id", F.concat(F.lit("Source : "), "src", F.lit(" \nTarget : "), "dst", F.lit(" \n"), attributes_as_text(F.col("attrs"))).alias("text"))
